@@ -1,0 +1 @@
+"""No streaming operators: every entry point in scope is a one-shot batch."""
