@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, sharding
+from . import bpe, chat, dedup, quality, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,27 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    return chat.digests(chat.conversations(told.unionByName(more)))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.decide(table(spark, sf_dir, "documents"))
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 OP2_SQL = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
 g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY h)
@@ -27,9 +48,67 @@ FROM d JOIN g ON d.h = g.h
 """
 
 
+OP8_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+escaped AS (
+  SELECT *, regexp_replace(regexp_replace(text, '(<)(~*)(\|[A-Za-z0-9_]+\|>|/?s>)', '\1~\2\3', 'g'), '(\[)(~*)(/?INST\])', '\1~\2\3', 'g') AS body FROM rows),
+placed AS (
+  SELECT *, sum(length('<|turn|>') + length(role) + 1 + length(body) + length('<|end|>') + 1)
+    OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS stop,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+    count(*) OVER (PARTITION BY conv_id) AS total
+  FROM escaped)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' OR n = total THEN stop ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+windows AS (
+  SELECT rid, p, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] AS win
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS p FROM w)),
+again AS (SELECT rid, unnest([p, p + 1, p + 2]) AS p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, win) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT rid, count(DISTINCT p) AS n FROM again GROUP BY rid),
+l AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line FROM d),
+lw AS (
+  SELECT rid, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+    lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS normal
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY rid),
+hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+common AS (
+  SELECT c.source, c.normal FROM (SELECT source, normal, count(DISTINCT rid) AS n FROM lw GROUP BY source, normal) c
+  JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n > 5 AND c.n > 0.01 * h.docs),
+gone AS (SELECT lw.rid, sum(lw.n) AS n FROM lw JOIN common c ON lw.source IS NOT DISTINCT FROM c.source AND lw.normal = c.normal GROUP BY lw.rid),
+base AS (
+  SELECT d.doc_id, len(w.words) AS n_words, length(array_to_string(w.words, '')) AS word_chars,
+    length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(dup.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS gone
+  FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN repeats USING (rid) LEFT JOIN gone USING (rid)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND n_words - gone >= 0.3 * n_words AS kept
+FROM judged
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_exact_dedup": op2_exact_dedup, "op3_sharding": op3_sharding}
+    return {
+        "op2_exact_dedup": op2_exact_dedup,
+        "op3_sharding": op3_sharding,
+        "op4_bpe": op4_bpe,
+        "op8_chat": op8_chat,
+        "op9_quality": op9_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op8_chat": OP8_SQL, "op9_quality": OP9_SQL}
