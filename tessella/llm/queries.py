@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, dedup, quality, sharding
+from . import bpe, chat, dedup, langid, quality, sharding, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -48,6 +56,16 @@ FROM d JOIN g ON d.h = g.h
 """
 
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h FROM p),
+best AS (SELECT h, max(page_id) AS page_id FROM d GROUP BY h)
+SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.h AS payload_digest,
+  CASE WHEN d.n >= 1000 AND d.page_id <> best.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN d.n >= 1000 AND d.page_id <> best.page_id THEN best.page_id END AS refers_to
+FROM d JOIN best ON d.h = best.h
+"""
+
 OP8_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -105,10 +123,12 @@ def queries() -> dict[str, Query]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_sharding": op3_sharding,
         "op4_bpe": op4_bpe,
+        "op6_warc": op6_warc,
+        "op7_langid": op7_langid,
         "op8_chat": op8_chat,
         "op9_quality": op9_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op8_chat": OP8_SQL, "op9_quality": OP9_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_warc": OP6_SQL, "op8_chat": OP8_SQL, "op9_quality": OP9_SQL}
