@@ -5,12 +5,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, dedup, langid, quality, sharding, warc
+from . import bpe, chat, dedup, langid, ngram_join, quality, sharding, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.decide(table(spark, sf_dir, "documents"))
 
@@ -120,6 +124,7 @@ FROM judged
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_sharding": op3_sharding,
         "op4_bpe": op4_bpe,
