@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, dedup, langid, ngram_join, quality, sharding, warc
+from . import bpe, chat, dedup, langid, mixing, ngram_join, quality, sharding, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.decide(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -60,6 +64,33 @@ FROM d JOIN g ON d.h = g.h
 """
 
 
+def op5_sql() -> str:
+    """The sweeps written out one below the other."""
+    rules = " ".join(f"WHEN regexp_matches(t, '{pattern}') THEN '{name}'" for name, pattern in mixing.TOPICS)
+    dims = ("source", "lang", "topic")
+    parts = [
+        f"d AS (SELECT doc_id, source, lang, t, CASE {rules} ELSE 'none' END AS topic, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS n FROM (SELECT *, coalesce(text, '') AS t FROM documents))",
+        "g0 AS (SELECT source, lang, topic, sum(n) AS n, 1.0::DOUBLE AS g FROM d GROUP BY ALL)",
+        "total AS (SELECT sum(n)::DOUBLE AS total FROM g0)",
+    ]
+    for dim in dims:
+        parts.append(f"a_{dim} AS (SELECT {dim} AS v, share / sum(share) OVER () AS aim FROM (SELECT {dim}, CASE WHEN sum(n) > 0 THEN pow(sum(n)::DOUBLE, {mixing.TEMPER}) END AS share FROM g0 GROUP BY {dim}))")
+    k = 0
+    for _ in range(mixing.SWEEPS):
+        for dim in dims:
+            parts.append(f"s{k} AS (SELECT {dim} AS v, sum(g * n) AS now FROM g{k} GROUP BY {dim})")
+            parts.append(
+                f"g{k + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.n, c.g * CASE WHEN s.now > 0 AND a.aim > 0 THEN a.aim * total / s.now ELSE 1.0 END AS g"
+                f" FROM g{k} c JOIN s{k} s ON c.{dim} IS NOT DISTINCT FROM s.v JOIN a_{dim} a ON c.{dim} IS NOT DISTINCT FROM a.v CROSS JOIN total)"
+            )
+            k += 1
+    parts.append(f"most AS (SELECT max(g) FILTER (WHERE n > 0) AS most FROM g{k})")
+    uniform = f"('0x' || substr(md5('{mixing.SEED}:' || d.doc_id), 1, 12))::BIGINT / {float(1 << 48)}"
+    parts.append(f"p AS (SELECT source, lang, topic, round(g, 9) AS weight, round(least(g / most, 1.0), 9) AS probability FROM g{k} CROSS JOIN most)")
+    same = " AND ".join(f"d.{x} IS NOT DISTINCT FROM p.{x}" for x in dims)
+    return f"WITH {', '.join(parts)} SELECT d.doc_id, d.source, d.lang, d.topic, CAST(d.n AS BIGINT) AS n_tokens, p.weight, p.probability, {uniform} < p.probability AS kept FROM d JOIN p ON {same}"
+
+
 OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h FROM p),
@@ -128,6 +159,7 @@ def queries() -> dict[str, Query]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_sharding": op3_sharding,
         "op4_bpe": op4_bpe,
+        "op5_mixing": op5_mixing,
         "op6_warc": op6_warc,
         "op7_langid": op7_langid,
         "op8_chat": op8_chat,
@@ -136,4 +168,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op6_warc": OP6_SQL, "op8_chat": OP8_SQL, "op9_quality": OP9_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_mixing": op5_sql(), "op6_warc": OP6_SQL, "op8_chat": OP8_SQL, "op9_quality": OP9_SQL}
