@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, dedup, langid, mixing, ngram_join, quality, sharding, warc
+from . import bpe, chat, dedup, langid, license, mixing, ngram_join, quality, sharding, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.decide(table(spark, sf_dir, "documents"))
 
 
+def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -164,6 +168,7 @@ def queries() -> dict[str, Query]:
         "op7_langid": op7_langid,
         "op8_chat": op8_chat,
         "op9_quality": op9_quality,
+        "op10_license": op10_license,
     }
 
 
