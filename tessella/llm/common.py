@@ -5,13 +5,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import ship  # noqa: F401
+
 #: Prefix of the columns that operators add for themselves. Input columns are renamed never, so
 #: an input column that begins with it is refused by ``reserve``.
 OWN = "__tsl_"
@@ -130,18 +130,3 @@ def same(a: DataFrame, b: DataFrame, on: Sequence[str]) -> Column:
     for c in on[1:]:
         cond = cond & a[c].eqNullSafe(b[c])
     return cond
-
-
-def ship(spark: SparkSession) -> None:
-    """Give Python workers this package, wherever the driver found it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tessella_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="tessella-zip-"))
-    atexit.register(shutil.rmtree, at, True)
-    with zipfile.ZipFile(at / f"{package.name}.zip", "w") as z:
-        for f in package.rglob("*.py"):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(at / f"{package.name}.zip"))
-    sc._tessella_shipped = True
