@@ -16,7 +16,7 @@ from ..functions.scalars import fixed
 
 def neighbours(px: DataFrame, values: Sequence[str]) -> DataFrame:
     """Pairs of 4-neighbours: image, r, c, down (false: to the right), one and two (structs of ``values``)."""
-    both = []
+    both, values = [], list(dict.fromkeys(values))
     for line, pos, down in (("r", "c", False), ("c", "r", True)):
         here = F.struct(F.col(pos).alias("at"), *values)
         after = px.select("image", "r", "c", F.struct(*values).alias("one"), F.lead(here).over(W.partitionBy("image", line).orderBy(pos)).alias("two"))
