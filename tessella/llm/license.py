@@ -1,6 +1,6 @@
 """Licence scans: a paragraph classifier finds licence families, a comparison with templates confirms them.
 
-A paragraph is a line with a word. Its features are its word n-grams of one to three words, hashed into ``FEATURES``
+A paragraph is a line with a word. Its features are its word n-grams of one and two words, hashed into ``FEATURES``
 columns; a multinomial logistic regression over them, sparse by an L1 penalty, gives a score to each family and to
 ``unknown``. It is trained on variants of the templates (words dropped by a hash, notices put around them) and, as unknown,
 on a bounded sample of the corpus's own paragraphs that no template resembles, about ``UNKNOWN_ROWS`` of them, and on
@@ -20,7 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,13 +103,6 @@ NOT_LICENCES = [
 ]
 
 
-def _grams(words: Column) -> Column:
-    """Word n-grams of one to three words."""
-    w = F.concat(F.array(F.lit("^")), words, F.array(F.lit("$")))
-    two = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, two)
-
-
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
@@ -125,10 +118,10 @@ def _literal(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
 
 
 def _features(df: DataFrame) -> DataFrame:
-    df = df.withColumn("words", _words(F.col("text")))
-    df = df.withColumn("three", F.expr("if(size(words) < 3, cast(array() as array<string>), transform(sequence(0, size(words) - 3), i -> array_join(slice(words, i + 1, 3), ' ')))"))
-    df = df.withColumn("grams", F.concat(_grams(F.col("words")), F.col("three")))
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(df).drop("grams", "three")
+    """Add words, and the hashed n-grams of one and two words between marks of begin and end."""
+    df = df.withColumn("words", _words(F.col("text"))).withColumn("marked", F.concat(F.array(F.lit("^")), "words", F.array(F.lit("$"))))
+    df = NGram(n=2, inputCol="marked", outputCol="pairs").transform(df).withColumn("grams", F.concat("words", "pairs"))
+    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(df).drop("marked", "pairs", "grams")
 
 
 def paragraphs(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
