@@ -90,7 +90,8 @@ def fit(cells: DataFrame, dims: Sequence[str], temper: float = TEMPER, sweeps: i
 
 
 def _weighted(rows: DataFrame, dims: Sequence[str], temper: float, sweeps: int, targets: DataFrame | None) -> DataFrame:
-    """``rows`` (dims, tokens ``n``, ...) with weight and probability."""
+    """``rows`` (dims, tokens ``n``, ...) with weight and probability. Texts are read once: what is known of them is written."""
+    rows = materialise(rows, "token-counts")
     cells = materialise(rows.groupBy(*dims).agg(F.sum("n").alias("n")), "cells")
     g = fit(cells, dims, temper, sweeps, targets)
     most = g.agg(F.max(F.when(F.col("n") > 0, F.col("g")))).first()[0] or 1.0
