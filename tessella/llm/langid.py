@@ -74,46 +74,58 @@ class Model:
 
 
 class Scorer:
-    """A model with a bounded cache of what unseen words scored."""
+    """A model with a bounded cache of what unseen words scored: known and cached words are rows of one table."""
 
     def __init__(self, model: Model, cache_words: int = CACHE_WORDS):
         self.m, self.limit = model, cache_words
-        self.cache: dict[str, np.ndarray] = {}
+        self._forget()
 
-    def unseen(self, word: str) -> np.ndarray:
-        if (got := self.cache.get(word)) is not None:
-            return got
-        score = np.zeros(len(self.m.languages))
-        known = self.m.grams
+    def _forget(self) -> None:
+        self.rows = dict(self.m.words)
+        self.table = self.m.word_scores
+
+    def _learn(self, words: list[str]) -> None:
+        """Append rows for unseen words: means over their longest known n-grams, zeros without any."""
+        scores = np.zeros((len(words), len(self.m.languages)))
+        get, left = self.m.grams.get, list(range(len(words)))
         for size in range(LONGEST, 0, -1):
-            rows = [r for g in grams(word, size) if (r := known.get(g)) is not None]
-            if rows:
-                score = self.m.gram_scores[rows].mean(0)
-                break
-        if len(word) <= 64:
-            if len(self.cache) >= self.limit:
-                self.cache.clear()
-            self.cache[word] = score
-        return score
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        counts = word_counts(text or "")
-        if not counts or not self.m.languages:
-            return UNKNOWN, 0.0
-        get = self.m.words.get
-        rows, times, total = [], [], np.zeros(len(self.m.languages))
-        for word, n in counts.items():
-            if (row := get(word)) is not None:
-                rows.append(row)
-                times.append(n)
-            else:
-                total = total + n * self.unseen(word)
-        if rows:
-            total = total + np.asarray(times, float) @ self.m.word_scores[rows]
-        total = total / np.sqrt(sum(counts.values()))
-        p = np.exp(total - total.max())
-        best = int(p.argmax())
-        return self.m.languages[best], round(float(p[best] / p.sum()), 6)
+            at, flat, begin, rest = [], [], [], []
+            for k in left:
+                rows = [r for g in grams(words[k], size) if (r := get(g)) is not None]
+                if rows:
+                    at.append(k)
+                    begin.append(len(flat))
+                    flat += rows
+                else:
+                    rest.append(k)
+            if at:
+                sums = np.add.reduceat(self.m.gram_scores[flat], begin)
+                scores[at] = sums / np.diff([*begin, len(flat)])[:, None]
+            left = rest
+        self.rows.update(zip(words, range(len(self.table), len(self.table) + len(words))))
+        self.table = np.concatenate([self.table, scores])
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        counts = [word_counts(t or "") for t in texts]
+        if not self.m.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        missing = sorted({w for c in counts for w in c if w not in self.rows})
+        if len(self.rows) + len(missing) > len(self.m.words) + self.limit:
+            self._forget()
+            missing = sorted({w for c in counts for w in c if w not in self.rows})
+        if missing:
+            self._learn(missing)
+        out = []
+        for c in counts:
+            if not c:
+                out.append((UNKNOWN, 0.0))
+                continue
+            times = np.fromiter(c.values(), float, len(c))
+            total = times @ self.table[list(map(self.rows.__getitem__, c))] / np.sqrt(times.sum())
+            p = np.exp(total - total.max())
+            best = int(p.argmax())
+            out.append((self.m.languages[best], round(float(p[best] / p.sum()), 6)))
+        return out
 
 
 COUNTS = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("item", pa.string()), ("n", pa.int64())])
@@ -188,7 +200,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_name: str
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
-                got = [scorer.predict(text.as_py()) for text in part.column(at)]
+                got = scorer.predict(part.column(at).to_pylist())
                 extra = [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, lang_name, score_name])
 

@@ -46,7 +46,10 @@ def test_nothing_to_learn(spark):
 def test_backoff_goes_to_shorter_grams():
     kept = {0: [("abc", {"x": 5, "y": 1})], 5: [("<zzzz", {"x": 9, "y": 1})], 4: [("qqqq", {"y": 9})], 3: [], 2: [("ab", {"x": 1})], 1: [("w", {"y": 7, "x": 1})]}
     scorer = langid.Scorer(langid._model(["x", "y"], kept))
-    assert scorer.predict("abc")[0] == "x" and scorer.predict("zzzzz")[0] == "x" and scorer.predict("pqqqqp")[0] == "y" and scorer.predict("ow")[0] == "y"
+    texts = ["abc", "zzzzz", "pqqqqp", "ow", "", "\u6f22"]
+    assert [lang for lang, _ in scorer.predict(texts)] == ["x", "x", "y", "y", "und", "x"]
+    tiny = langid.Scorer(scorer.m, cache_words=1)
+    assert [tiny.predict([t])[0] for t in texts] == scorer.predict(texts)
     row = kept[0][0][1]
     assert math.isclose(scorer.m.word_scores[0][0], math.log((row["x"] + 0.1) / (row["x"] + 0.2)))
 
