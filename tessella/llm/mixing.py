@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import OWN, drop_materialised, drop_rows, materialise, reserve, with_row_id
@@ -71,17 +72,17 @@ def _given(cells: DataFrame, dim: str, temper: float, targets: DataFrame | None)
 
 def fit(cells: DataFrame, dims: Sequence[str], temper: float = TEMPER, sweeps: int = SWEEPS, targets: DataFrame | None = None) -> DataFrame:
     """``cells`` (dims and tokens ``n``) with their weight ``g``: raked ``sweeps`` times to each marginal in turn."""
-    small = cells.count() <= BROADCAST_CELLS
-    near = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+    if cells.count() <= BROADCAST_CELLS:
+        return _fit_small(cells.coalesce(1), dims, temper, sweeps, targets)
     total = float(cells.agg(F.sum("n")).first()[0] or 0)
-    aims = {d: materialise(near(_given(near(cells), d, temper, targets)), "aims") for d in dims}
+    aims = {d: materialise(_given(cells, d, temper, targets), "aims") for d in dims}
     g, last = cells.withColumn("g", F.lit(1.0)), None
     for k in range(sweeps):
         for d in dims:
-            now = near(g).groupBy(d).agg(F.sum(F.col("g") * F.col("n")).alias("now"))
-            aim = near(aims[d])
+            now = g.groupBy(d).agg(F.sum(F.col("g") * F.col("n")).alias("now"))
+            aim = aims[d]
             factor = now.join(aim, now[d].eqNullSafe(aim["value"]), "left").select(F.col(d).alias("v"), F.when((F.col("now") > 0) & (F.col("aim") > 0), F.col("aim") * total / F.col("now")).otherwise(1.0).alias("f"))
-            g = near(g).join(factor, F.col(d).eqNullSafe(F.col("v")), "left").select(*dims, "n", (F.col("g") * F.coalesce("f", F.lit(1.0))).alias("g"))
+            g = g.join(factor, F.col(d).eqNullSafe(F.col("v")), "left").select(*dims, "n", (F.col("g") * F.coalesce("f", F.lit(1.0))).alias("g"))
         g = materialise(g, f"sweep{k}")
         if last is not None:
             drop_materialised(last)
@@ -89,6 +90,22 @@ def fit(cells: DataFrame, dims: Sequence[str], temper: float = TEMPER, sweeps: i
     return g
 
 
+def _fit_small(cells: DataFrame, dims: Sequence[str], temper: float, sweeps: int, targets: DataFrame | None) -> DataFrame:
+    """``fit`` for a bounded number of cells, in one partition: marginals are windows, so a sweep has no join or exchange."""
+    for d in dims:
+        aim = _given(cells, d, temper, targets).select(F.col("value").alias("__v"), F.col("aim").alias(f"__aim_{d}"))
+        cells = cells.join(F.broadcast(aim), F.col(d).eqNullSafe(F.col("__v")), "left").drop("__v")
+    g = materialise(cells.withColumns({"g": F.lit(1.0), "__total": F.sum("n").over(W.partitionBy()).cast("double")}), "aims")
+    for k in range(0, sweeps, 2):
+        g = g.coalesce(1)
+        for d in list(dims) * min(2, sweeps - k):
+            aim = F.col(f"__aim_{d}")
+            g = g.withColumn("__now", F.sum(F.col("g") * F.col("n")).over(W.partitionBy(d)))
+            g = g.withColumn("g", F.when((F.col("__now") > 0) & (aim > 0), F.col("g") * (aim * F.col("__total") / F.col("__now"))).otherwise(F.col("g"))).drop("__now")
+        g = materialise(g, f"sweep{k}")
+    return g.select(*dims, "n", "g")
+
+
 def _weighted(rows: DataFrame, dims: Sequence[str], temper: float, sweeps: int, targets: DataFrame | None) -> DataFrame:
     """``rows`` (dims, tokens ``n``, ...) with weight and probability. Texts are read once: what is known of them is written."""
     rows = materialise(rows, "token-counts")
