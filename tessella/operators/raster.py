@@ -213,5 +213,5 @@ def nearest_fill(px: DataFrame, radius: int) -> DataFrame:
 
 def nearest_valid(px: DataFrame, points: DataFrame) -> DataFrame:
     """For each point (image, id, x, y) the valid pixel nearest to it: first in row-major order."""
-    at = px.join(F.broadcast(points), "image").withColumn("d", (F.col("c") - F.col("x")) ** 2 + (F.col("r") - F.col("y")) ** 2)
+    at = px.join(points, "image").withColumn("d", (F.col("c") - F.col("x")) ** 2 + (F.col("r") - F.col("y")) ** 2)
     return at.groupBy("image", "id").agg(F.min(F.struct("d", "r", "c")).alias("m")).select("image", "id", "m.r", "m.c")
