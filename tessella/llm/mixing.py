@@ -7,6 +7,10 @@ sweeps all of them nearly do. A document's probability is the weight of its cell
 with tokens, so the expected tokens of every marginal are in the proportions of the targets and no document is repeated.
 Whether a document stays depends on its id and the seed alone.
 
+The largest weight can be that of a tiny cell, which then decides how much of the corpus goes. With ``volume`` the weights
+are scaled instead so that the expected tokens come to that number: a document is taken as often as the whole part of its
+scaled weight says, and once more with the probability of the rest. Rare cells are repeated, common ones keep their part.
+
 A marginal's target is its share of the tokens to the power ``temper`` (1: as it is, 0: all alike), or given by
 ``targets``. Cells are broadcast where they are at most ``BROADCAST_CELLS``, else joined by a shuffle; the tables of the
 fit stay as large as the cells, and small ones are fitted in one partition without exchanges.
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import OWN, drop_materialised, drop_rows, materialise, reserve, with_row_id
+from .common import OWN, drop_materialised, drop_rows, materialise, probe, reserve, sieve, with_row_id
 
 SWEEPS, TEMPER, SEED = 8, 0.7, "mix-1"
 BROADCAST_CELLS = 200_000
@@ -106,13 +110,14 @@ def _fit_small(cells: DataFrame, dims: Sequence[str], temper: float, sweeps: int
     return g.select(*dims, "n", "g")
 
 
-def _weighted(rows: DataFrame, dims: Sequence[str], temper: float, sweeps: int, targets: DataFrame | None) -> DataFrame:
-    """``rows`` (dims, tokens ``n``, ...) with weight and probability. Texts are read once: what is known of them is written."""
+def _weighted(rows: DataFrame, dims: Sequence[str], temper: float, sweeps: int, targets: DataFrame | None, volume: float | None = None) -> DataFrame:
+    """``rows`` (dims, tokens ``n``, ...) with weight and probability, and with ``rate``, the expected copies, if there is a volume. Texts are read once: what is known of them is written."""
     rows = materialise(rows, "token-counts")
     cells = materialise(rows.groupBy(*dims).agg(F.sum("n").alias("n")), "cells")
     g = fit(cells, dims, temper, sweeps, targets)
-    most = g.agg(F.max(F.when(F.col("n") > 0, F.col("g")))).first()[0] or 1.0
-    told = g.select(*[F.col(d).alias(OWN + d) for d in dims], F.round("g", DIGITS).alias("weight"), F.round(F.least(F.col("g") / most, F.lit(1.0)), DIGITS).alias("probability"))
+    most, raked = g.agg(F.max(F.when(F.col("n") > 0, F.col("g"))), F.sum(F.col("g") * F.col("n"))).first()
+    rate = F.col("g") / (most or 1.0) if volume is None else F.col("g") * (volume / (raked or 1.0))
+    told = g.select(*[F.col(d).alias(OWN + d) for d in dims], F.round("g", DIGITS).alias("weight"), F.round(F.least(rate, F.lit(1.0)), DIGITS).alias("probability"), *([] if volume is None else [F.round(rate, DIGITS).alias("rate")]))
     same = rows[dims[0]].eqNullSafe(told[OWN + dims[0]])
     for d in dims[1:]:
         same = same & rows[d].eqNullSafe(told[OWN + d])
@@ -121,19 +126,34 @@ def _weighted(rows: DataFrame, dims: Sequence[str], temper: float, sweeps: int,
     return rows.join(told, same, "left").drop(*[OWN + d for d in dims])
 
 
-def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: float = TEMPER, sweeps: int = SWEEPS, seed: str = SEED, targets: DataFrame | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight, probability, kept; one row per input row."""
+def _copies(id_col: Column, seed: str) -> Column:
+    """How often a document is taken where a volume is given."""
+    whole = F.floor("rate")
+    return whole + (uniform(id_col, seed) < F.col("rate") - whole).cast("long")
+
+
+def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: float = TEMPER, sweeps: int = SWEEPS, seed: str = SEED, targets: DataFrame | None = None, volume: float | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, weight, probability, kept, and with a volume copies; one row per input row."""
     text = F.col(text_col)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), topic(F.coalesce(text, F.lit(""))).alias("topic"), tokens(text).alias("n"))
-    out = _weighted(rows, ["source", "lang", "topic"], temper, sweeps, targets)
+    out = _weighted(rows, ["source", "lang", "topic"], temper, sweeps, targets, volume)
+    if volume is not None:
+        out = out.withColumn("copies", _copies(F.col("doc_id"), seed))
+        return out.select("doc_id", "source", "lang", "topic", F.col("n").alias("n_tokens"), "weight", "probability", (F.col("copies") > 0).alias("kept"), "copies")
     return out.select("doc_id", "source", "lang", "topic", F.col("n").alias("n_tokens"), "weight", "probability", (uniform(F.col("doc_id"), seed) < F.col("probability")).alias("kept"))
 
 
-def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: float = TEMPER, sweeps: int = SWEEPS, seed: str = SEED, targets: DataFrame | None = None) -> DataFrame:
-    """The sampled rows with their columns; texts are not shuffled."""
+def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: float = TEMPER, sweeps: int = SWEEPS, seed: str = SEED, targets: DataFrame | None = None, volume: float | None = None) -> DataFrame:
+    """The sampled rows with their columns; texts are not shuffled, but for those that a volume repeats."""
     text, rid = F.col(text_col), OWN + "rid"
     rows = with_row_id(reserve(df), rid)
     thin = rows.select(rid, F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), topic(F.coalesce(text, F.lit(""))).alias("topic"), tokens(text).alias("n"))
-    out = _weighted(thin, ["source", "lang", "topic"], temper, sweeps, targets)
+    out = _weighted(thin, ["source", "lang", "topic"], temper, sweeps, targets, volume)
+    if volume is not None:
+        times, key = OWN + "times", F.xxhash64(rid)
+        other = materialise(out.select(rid, _copies(F.col("id"), seed).cast("int").alias(times)).where(F.col(times) != 1), "copies")
+        seen = probe(rows, key, sieve(other.select(key.alias("k")), "k", "copies-sieve"), OWN + "hit")
+        some = seen.where(OWN + "hit").join(other, rid, "left").withColumn(times, F.explode(F.array_repeat(F.lit(0), F.coalesce(times, F.lit(1)))))
+        return seen.where(~F.col(OWN + "hit")).select(*df.columns).unionByName(some.select(*df.columns))
     losers = materialise(out.where(uniform(F.col("id"), seed) >= F.col("probability")).select(rid), "losers")
     return drop_rows(rows, rid, losers, "losers-sieve").select(*df.columns)

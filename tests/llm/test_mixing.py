@@ -51,3 +51,14 @@ def test_given_targets(spark):
     targets = spark.sql("SELECT * FROM VALUES ('source', 'a', 1.0D), ('source', 'b', 1.0D), ('lang', 'en', 1.0D) AS t(dim, value, share)")
     p = {r.source: r.probability for r in mixing.decide(df, targets=targets).collect()}
     assert p["b"] == 1 and abs(p["a"] - 1 / 3) < 1e-6
+
+
+def test_a_tiny_cell_does_not_set_the_volume(spark):
+    data = [(i, "w " * 40, "a" if i % 3 else "b", "en" if i % 5 else "de", "x") for i in range(2000)] + [(5000, "w " * 20, "new", "xx", "x")]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = mixing.decide(df, volume=40_000).collect()
+    assert abs(sum(r.n_tokens * r.copies for r in got) - 40_000) < 4_000
+    new = next(r for r in got if r.doc_id == 5000)
+    assert new.copies > 1 and all(r.kept == (r.copies > 0) for r in got)
+    taken = [r.doc_id for r in mixing.sample(df, volume=40_000).collect()]
+    assert sorted(taken) == sorted(i for r in got for i in [r.doc_id] * r.copies)
