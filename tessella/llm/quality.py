@@ -1,8 +1,8 @@
 """Quality rules: word statistics of each text, and lines that too many documents of a host share.
 
 A line is normalised (lower case, runs of white space as one blank) and hashed with its host; for every host and line the
-documents that hold it are counted. A line above the limit, ``max_share`` of the host's documents and more than
-``min_docs``, is removed from all of them. A document of which less than ``min_left`` of the words are left is rejected,
+documents that hold it are counted. A line in more than ``min_docs`` documents of a host is removed from all of them,
+however many documents the host has. A document of which less than ``min_left`` of the words are left is rejected,
 as are documents that fail the base rules. Counts cover all documents; only hashes are shuffled, pre-aggregated in each
 scan task, so neither a hot host nor a line that a third of all documents hold meets in one task.
 
@@ -23,7 +23,7 @@ from .common import OWN, materialise, reserve, sieve, probe, with_row_id
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MAX_SHARE, MIN_DOCS, MIN_LEFT = 0.01, 5, 0.3
+MIN_DOCS, MIN_LEFT = 5, 0.3
 BROADCAST_LINES = 1_000_000  # of two longs each
 
 _RID, _TEXT, _HOST = OWN + "rid", OWN + "text", OWN + "host"
@@ -63,14 +63,12 @@ def _normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, SPACES, " ")))
 
 
-def common_lines(rows: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Hashes of (host, normalised line) that are in more documents of the host than the limits allow."""
-    hosts = rows.groupBy(F.xxhash64(_HOST).alias("host")).agg(F.count(F.lit(1)).alias("docs"))
+def common_lines(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """Hashes of (host, normalised line) that are in more documents of the host than the limit allows."""
     normal = F.filter(F.transform(F.split(_TEXT, "\n"), _normal), lambda line: line != "")
     each = rows.select(F.col(_HOST), F.explode(F.array_distinct(normal)).alias("line"))
-    keyed = each.select(F.xxhash64(_HOST).alias("host"), F.xxhash64(_HOST, "line").alias("line"))
-    counts = keyed.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
-    return counts.join(hosts, "host").where(F.col("n") > max_share * F.col("docs")).select("line")
+    keyed = each.select(F.xxhash64(_HOST, "line").alias("line"))
+    return keyed.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs).select("line")
 
 
 def _removed(rows: DataFrame, common: DataFrame) -> DataFrame:
@@ -84,24 +82,24 @@ def _removed(rows: DataFrame, common: DataFrame) -> DataFrame:
     return hits.groupBy(_RID).agg(F.sum("words").alias("gone"), F.collect_list("pos").alias("positions"))
 
 
-def _judge(df: DataFrame, text_col: str, host_col: str, keep: list[str], max_share: float, min_docs: int, min_left: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _judge(df: DataFrame, text_col: str, host_col: str, keep: list[str], min_docs: int, min_left: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = with_row_id(reserve(df)).withColumns({_TEXT: F.coalesce(F.col(text_col), F.lit("")), _HOST: F.col(host_col)})
-    removed = _removed(rows, materialise(common_lines(rows, max_share, min_docs), "common-lines"))
+    removed = _removed(rows, materialise(common_lines(rows, min_docs), "common-lines"))
     joined = base(rows, [_RID, *keep]).join(removed, _RID, "left")
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     return rows, removed, joined.withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words")))
 
 
-def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept; one row per input row."""
     df = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
-    _, _, judged = _judge(df, "text", "host", ["doc_id"], max_share, min_docs, min_left)
+    _, _, judged = _judge(df, "text", "host", ["doc_id"], min_docs, min_left)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def clean(df: DataFrame, text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def clean(df: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """The kept rows with their columns, common lines taken out of the text; only rows that hold such lines are shuffled."""
-    rows, removed, judged = _judge(df, text_col, host_col, [], max_share, min_docs, min_left)
+    rows, removed, judged = _judge(df, text_col, host_col, [], min_docs, min_left)
     k, p = OWN + "kept", OWN + "positions"
     verdict = materialise(judged.select(_RID, F.col("kept").alias(k), F.col("positions").alias(p)), "verdicts")
     touched = verdict.where(~F.col(k) | F.col(p).isNotNull())

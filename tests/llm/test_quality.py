@@ -55,3 +55,10 @@ def test_clean(spark):
     assert got.columns == df.columns
     texts = {r.doc_id: r.text for r in got.collect()}
     assert texts[1] == f"{LONG} 1" and texts[205] == LONG and 100 not in texts and 200 not in texts
+
+
+def test_a_hot_host_does_not_raise_the_limit(spark):
+    menu = "\n".join(" ".join(f"menu{k}item{j}" for j in range(10)) for k in range(9))
+    data = [(i, f"{LONG} {i}", "hot", 1) for i in range(1000)] + [(2000 + i, f"{menu}\nown {i}", "hot", 1) for i in range(8)]
+    kept = {r.doc_id for r in quality.decide(spark.createDataFrame(data, SCHEMA)).collect() if r.kept}
+    assert kept == set(range(1000))
