@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed
+from ..plans.scratch import cut
 
 
 def neighbours(px: DataFrame, values: Sequence[str]) -> DataFrame:
@@ -198,17 +199,42 @@ def dense_relabel(px: DataFrame, label: str = "label") -> DataFrame:
 
 
 def nearest_fill(px: DataFrame, radius: int) -> DataFrame:
-    """Label 0 takes the label of the nearest labelled pixel within ``radius`` rows and columns; ties: first row, then column.
+    """Label 0 takes the label of the nearest labelled pixel, however far; ties: first row, then column.
 
-    Every labelled pixel reaches only its window, so the join is by equal coordinates.
+    Holes with a labelled pixel within the distance ``radius`` are filled by a join by equal coordinates with the pixels of
+    their window; ``radius`` sets the cost and not the result, as the others go to ``_fill_far``. Only an image without
+    any label keeps its zeros.
     """
     holes = px.where("label = 0").select("image", "r", "c")
     steps = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
     near = holes.withColumn("dr", steps).withColumn("dc", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
+    near = near.where(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc") <= radius * radius)
     seen = px.where("label > 0").select("image", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("label").alias("found"))
     hit = near.withColumns({"r2": F.col("r") + F.col("dr"), "c2": F.col("c") + F.col("dc")}).join(seen, ["image", "r2", "c2"])
     best = hit.groupBy("image", "r", "c").agg(F.min(F.struct((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d"), "r2", "c2", "found")).alias("m"))
-    return px.join(best.select("image", "r", "c", F.col("m.found").alias("__f")), ["image", "r", "c"], "left").withColumn("label", F.coalesce("__f", "label")).drop("__f")
+    best = cut(best.select("image", "r", "c", F.col("m.found").alias("__f")), "near")
+    left = cut(holes.join(best, ["image", "r", "c"], "left_anti"), "far")
+    if not left.isEmpty():
+        best = best.unionByName(_fill_far(left, seen))
+    return px.join(best, ["image", "r", "c"], "left").withColumn("label", F.coalesce("__f", "label")).drop("__f")
+
+
+def _fill_far(holes: DataFrame, seen: DataFrame) -> DataFrame:
+    """(image, r, c, __f) by an exact distance transform: the nearest labelled pixel of each column, for the rows that
+    have holes, and then for each hole the nearest of its row's columns."""
+    columns = seen.select("image", F.col("c2").alias("c")).distinct()
+    asked = holes.select("image", "r").distinct().join(columns, "image").withColumn("hit", F.lit(None).cast(f"struct<r2:{dict(seen.dtypes)['r2']},found:{dict(seen.dtypes)['found']}>"))
+    told = seen.select("image", F.col("r2").alias("r"), F.col("c2").alias("c"), F.struct("r2", "found").alias("hit"))
+    column = W.partitionBy("image", "c").orderBy("r")
+    up = F.last("hit", True).over(column.rangeBetween(W.unboundedPreceding, W.currentRow))
+    down = F.first("hit", True).over(column.rangeBetween(W.currentRow, W.unboundedFollowing))
+    both = asked.withColumn("asked", F.lit(True)).unionByName(told.withColumn("asked", F.lit(False))).withColumns({"up": up, "down": down}).where("asked")
+    far = lambda x: F.abs(F.col(f"{x}.r2") - F.col("r"))
+    hit = F.when(F.col("down").isNull() | (far("up") <= far("down")), F.col("up")).otherwise(F.col("down"))
+    lines = both.withColumn("hit", hit).groupBy("image", "r").agg(F.collect_list(F.struct("c", "hit.r2", "hit.found")).alias("line"))
+    wide = lambda x: x.cast("long") * x.cast("long")
+    near = F.transform("line", lambda x: F.struct((wide(x["c"] - F.col("c")) + wide(x["r2"] - F.col("r"))).alias("d"), x["r2"].alias("r2"), x["c"].alias("c2"), x["found"].alias("found")))
+    return holes.join(lines, ["image", "r"]).select("image", "r", "c", F.array_min(near)["found"].alias("__f"))
 
 
 def nearest_valid(px: DataFrame, points: DataFrame) -> DataFrame:

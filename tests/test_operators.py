@@ -150,3 +150,19 @@ def test_broken_documents_are_refused(spark):
     df = spark.createDataFrame([('{"roof_planes": 5}',)], "t string")
     with pytest.raises(Exception):
         documents.parse(df, "t", documents.PLAN, "plan").collect()
+
+
+def test_nearest_fill_leaves_no_hole(spark):
+    draw = random.Random(3)
+    wide = [[0] * 24 for _ in range(20)]
+    for _ in range(7):
+        wide[draw.randrange(20)][draw.randrange(24)] = draw.randint(1, 9)
+    corner = [[0] * 5 for _ in range(4)]
+    corner[3][3], corner[0][4] = 1, 2
+    for rows, holed in ((wide, False), (wide, True), (corner, False)):
+        px = grid(spark, rows).where("not (c between 3 and 15 and r > 4 and label = 0 and (r * 7 + c) % 3 = 0)" if holed else "true")
+        told = [(r.r, r.c, r.label) for r in px.collect()]
+        seen = [x for x in told if x[2]]
+        want = {(r, c): v or min(((r - a) ** 2 + (c - b) ** 2, a, b, w) for a, b, w in seen)[3] for r, c, v in told}
+        assert {(r.r, r.c): r.label for r in raster.nearest_fill(px, 3).collect()} == want
+    assert raster.nearest_fill(grid(spark, [[0, 0]]), 3).where("label = 0").count() == 2
