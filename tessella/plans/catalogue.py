@@ -409,10 +409,17 @@ def connected_components(spark, sf):
     return graph.label_components(px.withColumn("on", F.col("v") > 0.16), "on").groupBy("image").agg(F.count_distinct("component").alias("components"), F.count(F.lit(1)).alias("pixels"))
 
 
+@query("raster_components")
+def raster_components(spark, sf):
+    """``connected_components`` without its strips: the whole raster is one image."""
+    px = pixels(spark, sf).withColumns({"on": F.col("v") > 0.16, "pixel": F.col("r") * 64 + F.col("c")})
+    return graph.raster_components(px, "on", "pixel").groupBy("image").agg(F.count_distinct("component").alias("components"), F.count(F.lit(1)).alias("pixels"))
+
+
 @query("small_region_merge")
 def small_region_merge(spark, sf):
-    px = pixels(spark, sf).withColumn("image", F.floor(F.col("r") / TILE))
-    parts = graph.label_components(px.withColumn("on", F.col("v") > 0), "on", diagonal=False).withColumnRenamed("component", "label")
+    px = pixels(spark, sf).withColumns({"on": F.col("v") > 0, "pixel": F.col("r") * 64 + F.col("c")})
+    parts = graph.raster_components(px, "on", "pixel", diagonal=False).withColumn("label", F.col("component") + 1)
     return graph.merge_small_regions(parts, 4).groupBy("image").agg(F.max("label").alias("regions"), F.count(F.lit(1)).alias("pixels"))
 
 
@@ -442,14 +449,14 @@ def simplified_paths(spark, sf):
 
 @query("watershed_partition")
 def watershed_partition(spark, sf):
-    px = pixels(spark, sf).withColumn("image", F.floor(F.col("r") / 50))
-    px = px.withColumn("marker", F.when((F.col("r") % 25 == 12) & (F.col("c") % 16 == 8), F.floor(F.col("c") / 16) + 1 + 4 * F.floor(F.col("r") % 50 / 25)).otherwise(0))
+    px = pixels(spark, sf)
+    px = px.withColumn("marker", F.when((F.col("r") % 25 == 12) & (F.col("c") % 16 == 8), F.floor(F.col("c") / 16) + 1 + 4 * F.floor(F.col("r") / 25)).otherwise(0))
     return vector.watershed(px, "evidence", "marker").groupBy("image", "label").agg(F.count(F.lit(1)).alias("pixels"))
 
 
 @query("routed_boundaries")
 def routed_boundaries(spark, sf):
-    px = pixels(spark, sf).withColumn("image", F.floor(F.col("r") / 50))
+    px = pixels(spark, sf)
     ends = px.groupBy("image").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).select("image", "r0", F.lit(2).cast("long").alias("c0"), "r1", F.lit(60).cast("long").alias("c1"))
     return vector.route(px, "evidence", ends).groupBy("image").agg(F.count(F.lit(1)).alias("steps"))
 

@@ -166,3 +166,48 @@ def test_nearest_fill_leaves_no_hole(spark):
         want = {(r, c): v or min(((r - a) ** 2 + (c - b) ** 2, a, b, w) for a, b, w in seen)[3] for r, c, v in told}
         assert {(r.r, r.c): r.label for r in raster.nearest_fill(px, 3).collect()} == want
     assert raster.nearest_fill(grid(spark, [[0, 0]]), 3).where("label = 0").count() == 2
+
+
+def test_components_of_a_whole_raster(spark):
+    """Held against flood fill; regions cross every strip of ten rows."""
+    draw = random.Random(4)
+    rows = [[int(draw.random() < 0.45) for _ in range(12)] for _ in range(40)]
+    px = grid(spark, rows).withColumns({"on": F.col("label") > 0, "pixel": F.col("r") * 12 + F.col("c")})
+    for diagonal in (True, False):
+        want = {}
+        for r, c in [(r, c) for r in range(40) for c in range(12) if rows[r][c]]:
+            todo = [(r, c)] if (r, c) not in want else []
+            while todo:
+                y, x = todo.pop()
+                if 0 <= y < 40 and 0 <= x < 12 and rows[y][x] and (y, x) not in want:
+                    want[y, x] = r * 12 + c
+                    todo += [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if diagonal or not (a and b)]
+        assert {(p.r, p.c): p.component for p in graph.raster_components(px, "on", "pixel", diagonal).collect()} == want
+
+
+def test_strips_are_gone(spark, sf_dir):
+    from tessella.plans import catalogue
+
+    n = catalogue.pixels(spark, sf_dir).count()
+    assert [(r.image, r.steps >= n // 64) for r in catalogue.QUERIES["routed_boundaries"](spark, sf_dir).collect()] == [("e", True)]
+    assert {r.image for r in catalogue.QUERIES["watershed_partition"](spark, sf_dir).collect()} == {"e"}
+    assert [r.image for r in catalogue.QUERIES["small_region_merge"](spark, sf_dir).collect()] == ["e"]
+
+
+def test_merge_small_agrees_with_whole_masks():
+    for seed in range(20):
+        draw = np.random.default_rng(seed)
+        labels = graph.label_grid(draw.random((14, 11)) < 0.6, False)
+        want, sizes = labels.copy(), np.bincount(labels.ravel())
+        for label in sorted((i for i in range(1, len(sizes)) if 0 < sizes[i] < 4), key=lambda i: (sizes[i], i)):
+            region = want == label
+            if region.sum() >= 4:
+                continue
+            wide = np.zeros((16, 13), bool)
+            for r, c in zip(*np.nonzero(region)):
+                wide[r : r + 3, c : c + 3] = True
+            ring = want[wide[1:-1, 1:-1] & ~region]
+            ring = ring[ring > 0]
+            if len(ring):
+                want[region] = np.bincount(ring).argmax()
+        assert (graph.merge_small(labels, 4) == want).all()
