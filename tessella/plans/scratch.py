@@ -29,7 +29,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write and read again. Unlike a checkpoint this resets the plan's size estimates, which loops would square."""
     path = f"{shared_dir(df.sparkSession)}/tessella-{uuid.uuid4().hex[:12]}-{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tessella_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table of ``cut`` that no later plan reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._tessella_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -211,3 +211,19 @@ def test_merge_small_agrees_with_whole_masks():
             if len(ring):
                 want[region] = np.bincount(ring).argmax()
         assert (graph.merge_small(labels, 4) == want).all()
+
+
+def test_joined_labels_and_points_stay_in_their_image(spark):
+    px = spark.createDataFrame([("a", 0, 0, 1), ("a", 0, 1, 2), ("b", 0, 0, 1), ("b", 0, 1, 2), (None, 0, 0, 2)], "image string, r long, c long, label long")
+    got = graph.union_labels(px, spark.createDataFrame([("a", 1, 2)], "image string, a long, b long")).collect()
+    assert sorted((r.image or "", r.c, r.label) for r in got) == [("", 0, 2), ("a", 0, 1), ("a", 1, 1), ("b", 0, 1), ("b", 1, 2)]
+    points = spark.createDataFrame([("a", 1, 0.0, 0.0), ("a", 2, 0.5, 0.0), ("b", 1, 0.0, 0.0), ("b", 2, 9.0, 0.0)], "image string, id long, x double, y double")
+    got = graph.cluster_points(points, 1.0, ["image"]).collect()
+    assert sorted((r.image, r.id, r.root) for r in got) == [("a", 1, 1), ("a", 2, 1), ("b", 1, 1), ("b", 2, 2)]
+    assert graph.cluster_points(points.limit(0), 1.0, ["image"]).count() == 0
+
+
+def test_hubs_meet_their_minimum(spark):
+    edges = [(1, x) for x in range(2, 400)] + [(x, x + 1) for x in range(500, 560)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: 1 for x in range(1, 400)} | {x: 500 for x in range(500, 561)}
