@@ -1,23 +1,33 @@
-"""Pieces that several operators share: scratch tables, fixed-size sieves, reserved names."""
+"""Pieces that several operators share: scratch tables, stable row ids, sieves of bounded size, joins with hot keys."""
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import math
 import uuid
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import ship  # noqa: F401
+from ..operators.joins import hot_join  # noqa: F401
+from ..plans.scratch import cut as materialise
+from ..plans.scratch import drop as drop_materialised  # noqa: F401
+from ..plans.scratch import shared_dir, ship  # noqa: F401
 
 #: Prefix of the columns that operators add for themselves. Input columns are renamed never, so
 #: an input column that begins with it is refused by ``reserve``.
 OWN = "__tsl_"
-#: Bits of a sieve: at most 2**26 / 64 rows of two longs (about 32 MB in an executor) are broadcast,
-#: however large the corpus is. A full sieve lets everything through, which costs time, not rows.
-SIEVE_BITS = 26
+#: Bits of a sieve: about sixteen for a key, between these bounds. At most 2**28 / 64 rows of two longs (64 MB as rows,
+#: about 160 MB as a hash relation) are broadcast, however large the corpus is; up to some 30 million keys it rejects
+#: seven of eight strangers. A fuller sieve lets more through, which costs a shuffle of what it lets through, not rows.
+LEAST_BITS, MOST_BITS = 16, 28
+#: A row id is the number of the file and the number of the row in it.
+ROW_BITS = 36
+
+
+class Sieve(NamedTuple):
+    words: DataFrame
+    bits: int
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,82 +40,72 @@ def reserve(df: DataFrame) -> DataFrame:
     return df
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset on a local master."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at.rstrip("/")
-    sc = spark.sparkContext
-    if at := sc.getCheckpointDir():
-        return at.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    at = tempfile.mkdtemp(prefix="tessella-")
-    atexit.register(shutil.rmtree, at, True)
-    sc.setCheckpointDir(f"file://{at}")
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/tessella-{uuid.uuid4().hex[:12]}-{name}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._tessella_path = path
-    return out
-
-
-def drop_materialised(df: DataFrame) -> None:
-    """Delete a table of ``materialise`` that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._tessella_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex[:12]}-{name}"
 
 
 def with_row_id(df: DataFrame, name: str = OWN + "rid") -> DataFrame:
-    """A row id that is the same whenever these files are read: position of the scan task and of the row in it.
+    """A row id that is the same in every plan over these files, however they are split: number of the file (in the order
+    of the paths) and of the row in it, as the Parquet reader knows them.
 
-    A frame that is not a plain scan is written to the shared folder first, else a second evaluation could
-    number its rows in another way.
+    A frame that is not a plain scan of Parquet files is written to the shared folder first, else a second evaluation
+    could number its rows in another way. The paths are the only thing that the driver sees: one string for a file.
     """
-    if not df.inputFiles() or not _plain(df):
+    if not _plain(df):
         df = materialise(df, "rows")
-    return df.withColumn(name, F.monotonically_increasing_id())
+    at = df.metadataColumn("_metadata")
+    paths = sorted(r[0] for r in df.select(at["file_path"]).distinct().collect())
+    row = at["row_index"].cast("long")
+    if len(paths) <= 1:
+        return df.withColumn(name, row)
+    spark, path, number = df.sparkSession, OWN + "path", OWN + "file"
+    files = spark.createDataFrame([(x, k) for k, x in enumerate(paths)], f"{path} string, {number} long")
+    found = df.withColumns({name: row, OWN + "at": at["file_path"]})
+    found = found.join(F.broadcast(files), found[OWN + "at"] == files[path], "left")
+    known = F.coalesce(number, F.raise_error(F.lit("a file was added while it was read")).cast("long"))
+    return found.withColumn(name, F.shiftleft(known, ROW_BITS) + F.col(name)).drop(OWN + "at", path, number)
 
 
 def _plain(df: DataFrame) -> bool:
+    """Whether the frame is a scan of Parquet files, each of them once, with filters and projections at most."""
     plan = df._jdf.queryExecution().optimizedPlan()
     while plan.nodeName() in ("Project", "Filter"):
         plan = plan.children().head()
-    return plan.nodeName().startswith("LogicalRelation") or plan.nodeName().startswith("Relation")
+    if not plan.nodeName().startswith("LogicalRelation"):
+        return False
+    relation = plan.relation()
+    if "HadoopFsRelation" not in relation.getClass().getSimpleName() or relation.fileFormat().toString() != "Parquet":
+        return False
+    files = df.inputFiles()
+    return 0 < len(files) == len(set(files))
 
 
-def bit(key: Column, bits: int = SIEVE_BITS) -> Column:
+def bit(key: Column, bits: int) -> Column:
     """The sieve's bit number of a 64-bit hash."""
     return F.shiftrightunsigned(key, 64 - bits)
 
 
-def sieve(keys: DataFrame, key: str, name: str, bits: int = SIEVE_BITS) -> DataFrame:
-    """A fixed-size set of the 64-bit hashes in ``key``: (word, mask), at most 2**bits / 64 rows.
+def sieve(keys: DataFrame, key: str, name: str, bits: int | None = None) -> Sieve:
+    """A set of the 64-bit hashes in ``key`` as (word, mask) rows, sized by their number.
 
     It holds every given hash and some others, so what it rejects is certainly absent.
     """
+    if bits is None:
+        keys = materialise(keys.select(key), f"{name}-keys")
+        bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, keys.count()))) + 4))
     words = (
         keys.select(bit(F.col(key), bits).alias("at"))
         .select(F.expr("at >> 6").alias(OWN + "word"), F.expr("1L << cast(at & 63 as int)").alias("m"))
         .groupBy(OWN + "word")
         .agg(F.bit_or("m").alias(OWN + "mask"))
     )
-    return materialise(words, name)
+    return Sieve(materialise(words, name), bits)
 
 
-def probe(df: DataFrame, key: Column, words: DataFrame, flag: str, bits: int = SIEVE_BITS) -> DataFrame:
-    """Add ``flag``: false only if the hash is certainly not in the sieve. Broadcasts at most 2**bits / 64 rows."""
-    at = bit(key, bits)
-    out = df.withColumn(OWN + "at", at).withColumn(OWN + "w", F.shiftright(OWN + "at", 6))
+def probe(df: DataFrame, key: Column, held: Sieve, flag: str) -> DataFrame:
+    """Add ``flag``: false only if the hash is certainly not in the sieve, which is broadcast."""
+    words = held.words
+    out = df.withColumn(OWN + "at", bit(key, held.bits)).withColumn(OWN + "w", F.shiftright(OWN + "at", 6))
     out = out.join(F.broadcast(words), out[OWN + "w"] == words[OWN + "word"], "left")
     hit = F.coalesce(F.getbit(OWN + "mask", F.col(OWN + "at").bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
     return out.withColumn(flag, hit).drop(OWN + "at", OWN + "w", OWN + "word", OWN + "mask")
@@ -114,8 +114,7 @@ def probe(df: DataFrame, key: Column, words: DataFrame, flag: str, bits: int = S
 def drop_rows(df: DataFrame, rid: str, losers: DataFrame, name: str) -> DataFrame:
     """``df`` without the rows whose ``rid`` is in ``losers``; only rows that a sieve of the losers lets through are shuffled."""
     key = F.xxhash64(rid)
-    words = sieve(losers.select(key.alias("k")), "k", name)
-    seen = probe(df, key, words, OWN + "hit")
+    seen = probe(df, key, sieve(losers.select(key.alias("k")), "k", name), OWN + "hit")
     rest = seen.where(F.col(OWN + "hit")).join(losers.select(rid), rid, "left_anti")
     return seen.where(~F.col(OWN + "hit")).select(*df.columns).unionByName(rest.select(*df.columns))
 

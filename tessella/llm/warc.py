@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, SIEVE_BITS, drop_rows, materialise, probe, reserve, scratch_path, ship, sieve, with_row_id
+from .common import OWN, drop_rows, materialise, probe, reserve, scratch_path, ship, sieve, with_row_id
 
 MIN_REVISIT = 1000
 FILE_BYTES = 1 << 30
@@ -126,7 +126,7 @@ def _writer(folder: str, level: int, file_bytes: int):
     return run
 
 
-def write(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", level: int = LEVEL, file_bytes: int = FILE_BYTES, sieve_bits: int = SIEVE_BITS) -> tuple[str, DataFrame]:
+def write(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", level: int = LEVEL, file_bytes: int = FILE_BYTES, sieve_bits: int | None = None) -> tuple[str, DataFrame]:
     """Write the archives; the folder and the index."""
     spark = df.sparkSession
     ship(spark)
@@ -138,7 +138,7 @@ def write(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
     key = F.xxhash64("digest")
     again = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").count().where("count > 1").select(key.alias("k"))
-    seen = probe(rows, key, sieve(again, "k", "payloads", sieve_bits), OWN + "hit", sieve_bits)
+    seen = probe(rows, key, sieve(again, "k", "payloads", sieve_bits), OWN + "hit")
     several = materialise(seen.where(F.col(OWN + "hit") & (F.col("size") >= MIN_REVISIT)).select(_RID, "page_id", "url", "digest", "size"), "copies")
     best = several.groupBy("digest").agg(F.max(F.struct("page_id", _RID)).alias("best"))
     later = several.join(best, "digest").where(F.col(_RID) != F.col("best")[_RID])
