@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, drop_rows, materialise, probe, reserve, sieve, with_row_id
+from .common import OWN, drop_rows, hot_join, materialise, probe, reserve, sieve, with_row_id
 
 PREFIX_CHARS = 64
 
@@ -48,7 +48,7 @@ def _groups(full: DataFrame) -> DataFrame:
 def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, sieve_bits: int | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     rows, full = _refine(df, id_col, text_col, prefix_chars, sieve_bits)
-    several = full.join(_groups(full), "sha").select(
+    several = hot_join(full, _groups(full), "sha", "n").select(
         F.col(_ID).alias(id_col),
         F.col("best")[_ID].alias("keep_id"),
         F.col("n").alias("group_size"),
@@ -64,5 +64,5 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, sieve_bits: int | None = None) -> DataFrame:
     """The input rows, with their columns, without those that have an equal text with a larger id."""
     rows, full = _refine(df, id_col, text_col, prefix_chars, sieve_bits)
-    losers = materialise(full.join(_groups(full), "sha").where(F.col(_RID) != F.col("best")[_RID]).select(_RID), "losers")
+    losers = materialise(hot_join(full, _groups(full), "sha", "n").where(F.col(_RID) != F.col("best")[_RID]).select(_RID), "losers")
     return drop_rows(rows.select(*df.columns, _RID), _RID, losers, "losers-sieve").select(*df.columns)
