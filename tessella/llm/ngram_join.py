@@ -4,23 +4,29 @@ Words are the lower-case runs between white space; a shingle is ``shingle`` succ
 fewer). Texts with the same words in the same order are a class, and only a representative of each class goes on: the row
 with the largest id. Two classes are linked if the Jaccard similarity of their shingle sets is at least ``threshold``.
 
-The forest has ``TREES`` tries over signatures of ``DEPTH`` minima. Matched prefixes are shortened from the full depth
-until a pair at the threshold itself is found with probability ``RECALL`` (``prefix_depth``); more similar pairs are
-found more often. What shares a node at that depth is joined into clusters, and every pair of a cluster is verified, so
-pairs are found that no node held. Representatives that share no node (a sieve of fixed size holds the nodes with two or
-more) never leave their scan task.
-
-No pair is ever a row: a cluster is dealt out as pairs of blocks of at most about ``BLOCK`` members, and a task gives back,
-for each member, its number of links and one member it is connected to. Groups are the connected components of links.
-
-Defined cases: a null text counts as empty; texts without words are one class without links; a null id is smaller than
-any other; repeated rows are copies in a class; of equal ids the last in the scan is meant; an empty table gives an empty
-result; other columns pass through ``dedup`` whatever their names.
+The forest has ``TREES`` tries over labels of ``DEPTH`` minima, each a sorted list: what shares a prefix stands together, and
+the common prefix of neighbours tells the depth of their node. For each text the matched prefix is shortened from the full
+depth until a partner at the least similarity that it can have reaches it in some trie with probability ``RECALL``
+(``depths``): a text of n shingles can have few similarities when n is small, so short texts keep long prefixes, and no text
+goes below ``prefix_depth``. Two texts are candidates if a trie holds them together at the longer of their two prefixes. In
+each node a sketch of the whole signature (``SKETCH_BITS`` of every minimum) sorts out candidates that cannot have the
+similarity but by a chance of ``MISS``; what is left is joined into clusters, and every pair of a cluster is verified.
+Representatives that share no node (a sieve holds the nodes with two or more) never leave their scan task.
+
+No pair is ever a row: nodes and clusters are dealt out as pairs of blocks of at most about ``NODE_BLOCK`` and ``BLOCK``
+members, and a task gives back, for each member, one member it is connected to (and its number of links). Groups are the
+connected components of links. Keys that hold many rows are broadcast (``hot_join``), so no join meets them in one task.
+
+Defined cases: a null text counts as empty; texts without words are one class without links; ids may have any type that
+can be compared, and a null id is smaller than any other; repeated rows are copies in a class; of equal ids the last in the
+order of files and rows is meant; an empty table gives an empty result; other columns pass through ``dedup`` whatever their
+names.
 """
 from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, drop_materialised, drop_rows, materialise, probe, reserve, ship, sieve, with_row_id
+from ..operators.graph import components
+from .common import OWN, drop_rows, hot_join, materialise, probe, reserve, ship, sieve, with_row_id
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 8, 0.999
+SKETCH_BITS, MISS = 4, 1e-5
+NODE_BLOCK = 4096
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 CHUNK_CHARS = 1 << 20
 CACHE_WORDS = 1 << 18
@@ -41,6 +50,7 @@ BATCH_SHINGLES = 1 << 15
 _RID = OWN + "rid"
 
 
+@functools.cache
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
     """The longest prefix at which a pair at the threshold shares a node of some tree with probability ``recall``."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
@@ -48,6 +58,38 @@ def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int =
     return depth
 
 
+@functools.lru_cache(1 << 16)
+def least_similarity(n: int, threshold: float = THRESHOLD) -> float:
+    """The least similarity, not below the threshold, that a set of ``n`` elements can have with any other set."""
+    if n > 4096:
+        return threshold
+    first = math.ceil(threshold * n - 1e-9)
+    return min(i / math.floor(i / threshold + 1e-9) for i in range(max(1, first), n + 1))
+
+
+def depths(sizes: list[int], threshold: float) -> list[int]:
+    """For texts of so many shingles the length of the prefix at which their recall is met."""
+    return [prefix_depth(least_similarity(n, threshold)) if n else DEPTH for n in sizes]
+
+
+@functools.cache
+def least_agreement(threshold: float, minima: int = TREES * DEPTH) -> int:
+    """In how many minima a pair at the threshold agrees, in their last bits, at least, but for a chance of ``MISS``."""
+    p = threshold + (1 - threshold) / (1 << SKETCH_BITS)
+    missed = 0.0
+    for k in range(minima + 1):
+        missed += math.comb(minima, k) * p**k * (1 - p) ** (minima - k)
+        if missed > MISS:
+            return k
+    return minima
+
+
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """The last four bits of every minimum, two of them in a byte."""
+    low = (signature & np.uint32((1 << SKETCH_BITS) - 1)).astype(np.uint8)
+    return low[:, ::2] << np.uint8(SKETCH_BITS) | low[:, 1::2]
+
+
 @functools.cache
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     raw = [xxhash.xxh64_intdigest(f"tessella-{i}") for i in range(2 * n)]
@@ -110,35 +152,117 @@ def signatures(sets: list[np.ndarray], minima: int) -> np.ndarray:
     return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch], size: int, minima: int) -> Iterator[pa.RecordBatch]:
-    """(rid, id, text) to (rid, id, class key, number of shingles, signature)."""
+def _signed(batches: Iterator[pa.RecordBatch], size: int, minima: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """(rid, id, text) to (rid, id, class key, number of shingles, depth, signature, sketch)."""
     words = _words()
     for batch in batches:
-        held: list[tuple] = []
+        kind = batch.column(1).type
+        schema = pa.schema([("rid", pa.int64()), ("id", kind), ("key", pa.binary()), ("n", pa.int32()), ("depth", pa.int32()), ("sig", pa.list_(pa.int32())), ("sketch", pa.binary())])
+        keys: list[bytes] = []
         sets: list[np.ndarray] = []
-        total = 0
-
-        def flush():
-            made = iter(signatures(sets, minima).view(np.int32)) if sets else iter(())
-            rows = [(rid, i, key, n, next(made) if n else None) for rid, i, key, n in held]
-            held.clear(), sets.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _SIGNED.types)], schema=_SIGNED)
-
-        for rid, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        begin = total = 0
+
+        def flush(end: int) -> pa.RecordBatch:
+            full = [s for s in sets if len(s)]
+            made = signatures(full, minima) if full else np.zeros((0, minima), np.uint32)
+            rows, short = iter(made.view(np.int32)), iter(sketches(made))
+            sig, sketch = zip(*((next(rows), next(short).tobytes()) if len(s) else (None, None) for s in sets))
+            sizes = [len(s) for s in sets]
+            made = [batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), keys, sizes, depths(sizes, threshold), sig, sketch]
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, schema.types)], schema=schema)
+
+        for k, text in enumerate(batch.column(2)):
             h = words.hashes(text.as_py() or "")
-            s = shingles(h, size)
-            held.append((rid, i, hashlib.md5(h.tobytes()).digest(), len(s)))
-            if len(s):
-                sets.append(s)
-                total += len(s)
-            if total >= BATCH_SHINGLES or len(held) >= 1000:
-                yield flush()
-                total = 0
-        if held:
-            yield flush()
-
+            sets.append(shingles(h, size))
+            keys.append(hashlib.md5(h.tobytes()).digest())
+            total += len(sets[-1])
+            if total >= BATCH_SHINGLES or len(keys) >= 1000:
+                yield flush(k + 1)
+                keys, sets = [], []
+                begin, total = k + 1, 0
+        if keys:
+            yield flush(batch.num_rows)
+
+
+def _runs(rest: np.ndarray) -> np.ndarray:
+    """For sorted labels and every depth below the floor (0: at it) the number of each row's node."""
+    same = np.ones((len(rest) - 1, rest.shape[1] + 1), bool)
+    same[:, 1:] = np.logical_and.accumulate(rest[1:] == rest[:-1], axis=1)
+    return np.concatenate([np.zeros((1, same.shape[1]), np.int64), np.cumsum(~same, axis=0)]).T
+
+
+def joined(rest: np.ndarray, depth: np.ndarray, sketch: np.ndarray, left: np.ndarray, agreement: int) -> list[int]:
+    """For each row of a sorted trie the first row it is connected to by candidates (itself: none); with rows on both
+    sides only pairs across count. ``depth`` counts from the floor.
+
+    A row that is reached leaves the list of those that are looked for, so dense nodes cost little more than their size.
+    """
+    m = len(rest)
+    node, across = _runs(rest), left.any() and not left.all()
+    nibbles = np.concatenate([sketch >> 4, sketch & 15], axis=1)
+    root, open_ = np.full(m, -1), np.arange(m)
+    for first in range(m):
+        if root[first] >= 0:
+            continue
+        root[first] = first
+        open_ = open_[open_ != first]
+        work = [first]
+        while work and len(open_):
+            x = work.pop()
+            # Candidates stand in one stretch of the sorted list: the node of x at its own depth.
+            own = node[depth[x]]
+            near = open_[np.searchsorted(own[open_], own[x]) : np.searchsorted(own[open_], own[x], "right")]
+            near = near[node[depth[near], near] == node[depth[near], x]]
+            if across:
+                near = near[left[near] != left[x]]
+            if not len(near):
+                continue
+            hit = near[(nibbles[near] == nibbles[x]).sum(1) >= agreement]
+            root[hit] = first
+            work += hit.tolist()
+            open_ = open_[root[open_] < 0]
+    return root.tolist()
+
+
+def _trie_edges(batches: Iterator[pa.RecordBatch], floor: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (node, i, j, block, rid, depth, rest, sketch) sorted by (node, i, j, rest): edges (a, b) that connect candidates."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    least = least_agreement(threshold)
+    held: list[pa.RecordBatch] = []
+    key = None
+
+    def done() -> pa.RecordBatch | None:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        m = whole.num_rows
+        if m < 2:
+            return None
+        block = whole.column(3).to_numpy()
+        left = block == key[1]
+        if key[1] != key[2] and (left.all() or not left.any()):
+            return None
+        rest = whole.column(6).flatten().to_numpy().reshape(m, DEPTH - floor)
+        sketch = np.frombuffer(b"".join(whole.column(7).to_pylist()), np.uint8).reshape(m, -1)
+        root = np.array(joined(rest, whole.column(5).to_numpy() - floor, sketch, left, least))
+        some = np.flatnonzero(root != np.arange(m))
+        rid = whole.column(4).to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array(rid[root[some]])], schema=schema) if len(some) else None
 
-_SIGNED = pa.schema([("rid", pa.int64()), ("id", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("sig", pa.list_(pa.int32()))])
+    for batch in batches:
+        ids = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+        edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        out = []
+        for x, y in zip(edges, edges[1:]):
+            if x == y:
+                continue
+            this = tuple(ids[x].tolist())
+            if this != key:
+                if held and (made := done()):
+                    out.append(made)
+                held, key = [], this
+            held.append(batch.slice(x, y - x))
+        yield from out
+    if held and (made := done()):
+        yield made
 
 
 def _with_shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -214,6 +338,8 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
     def done():
         names = [m[0] for m in members]
         left = np.array([m[1] == key[1] for m in members])
+        if key[1] != key[2] and (left.all() or not left.any()):
+            return  # one of two blocks is empty, and pairs within the other are another task's
         link = linked([m[2] for m in members], left, threshold)
         for name, n, to in zip(names, link.sum(1).tolist(), _roots(link, names)):
             if n:
@@ -236,47 +362,40 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=schema)
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """(a, b) to (node, root), root the least node of the component: alternating stars, a number of rounds that grows with
-    the logarithm of the longest path. Hubs are aggregated on the map side; AQE splits them in the joins."""
-    e = materialise(edges.where("a <> b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct(), name)
-    mark = None
-    while True:
-        both = e.unionByName(e.selectExpr("b as a", "a as b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) as m")
-        large = both.join(least, "a").where("b > a").selectExpr("b as a", "m as b").where("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        step = large.join(small, "a").where("b <> m").selectExpr("b as a", "m as b").unionByName(small.selectExpr("a", "m as b")).distinct()
-        step = materialise(step, name)
-        now = step.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        drop_materialised(e)
-        e = step
-        if now == mark:
-            break
-        mark = now
-    return e.selectExpr("a as node", "b as root").unionByName(e.selectExpr("b as node", "b as root").distinct())
-
-
-def _representatives(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """All rows with their class, and one row for each class with its signature."""
-    signed = rows.select("rid", "id", "text").mapInArrow(lambda it: _signed(it, size, TREES * DEPTH), "rid long, id long, key binary, n int, sig array<int>")
+def _representatives(rows: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with their signature, the classes, and one row with its signature for each class with a word."""
+    kind = rows.schema["id"].dataType.simpleString()
+    run = lambda it: _signed(it, size, TREES * DEPTH, threshold)
+    signed = rows.select("rid", "id", "text").mapInArrow(run, f"rid long, id {kind}, key binary, n int, depth int, sig array<int>, sketch binary")
     signed = materialise(signed, "signatures")
     best = signed.groupBy("key").agg(F.max(F.struct("id", "rid")).alias("best"), F.count(F.lit(1)).alias("copies"))
-    best = materialise(best.select("key", F.col("best.id").alias("class_id"), F.col("best.rid").alias("rep"), "copies"), "classes")
-    reps = signed.select("rid", "n", "sig").where("n > 0").join(best.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    return signed.select("rid", "id", "key").join(best, "key"), materialise(reps, "representatives")
-
-
-def _clusters(reps: DataFrame, depth: int) -> DataFrame:
-    """(rid, root, blocks) of the representatives that share a node of the forest with another."""
-    nodes = reps.select("rid", F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, slice(sig, t * {DEPTH} + 1, {depth})))")).alias("tree", "node"))
-    several = materialise(nodes.groupBy("node").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("node", "first"), "nodes")
-    held = probe(nodes, F.col("node"), sieve(several, "node", "nodes-sieve"), OWN + "hit").where(OWN + "hit")
-    edges = held.join(several, "node").selectExpr("rid as a", "first as b")
-    member = components(edges, "clusters").withColumnRenamed("node", "rid")
-    sized = member.join(reps.select("rid", "n"), "rid")
-    blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    return materialise(member.join(blocks, "root").select("rid", "root", "blocks"), "members")
+    classes = materialise(best.select("key", F.col("best.id").alias("class_id"), F.col("best.rid").alias("rep"), "copies"), "classes")
+    # Signatures of texts without a copy stay where they are; of the others the representatives are picked by a join.
+    several = classes.where("copies > 1").select(F.xxhash64("key").alias("k"), "rep")
+    seen = probe(signed.where("n > 0").select("rid", "n", "depth", "sig", "sketch", F.xxhash64("key").alias("k")), F.col("k"), sieve(several.select("k"), "k", "classes-sieve"), OWN + "hit")
+    held = seen.where(OWN + "hit")
+    picked = held.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    return signed, classes, seen.where(f"not {OWN}hit").unionByName(picked).drop("k", OWN + "hit")
+
+
+def _clusters(reps: DataFrame, threshold: float) -> DataFrame:
+    """(rid, root, blocks) of the representatives that are candidates for another."""
+    floor = prefix_depth(threshold)
+    label = f"'node', xxhash64(t, slice(sig, t * {DEPTH} + 1, {floor})), 'rest', slice(sig, t * {DEPTH} + {floor + 1}, {DEPTH - floor})"
+    nodes = reps.select("rid", "depth", "sketch", F.inline(F.expr(f"transform(sequence(0, {TREES - 1}), t -> named_struct({label}))")))
+    several = materialise(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "nodes")
+    held = probe(nodes, F.col("node"), sieve(several, "node", "nodes-sieve"), OWN + "hit").where(OWN + "hit").drop(OWN + "hit")
+    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Only nodes of more than one block are known by their size; they are few, at most a row for every NODE_BLOCK rows.
+    large = several.where(f"c > {NODE_BLOCK}").select("node", F.expr(f"cast(ceil(c / {NODE_BLOCK}) as int)").alias("blocks"))
+    dealt = held.join(large, "node", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.expr("cast(pmod(xxhash64(rid, node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.selectExpr("node", "least(block, other) as i", "greatest(block, other) as j", "block", "rid", "depth", "rest", "sketch")
+    tries = dealt.repartition(n, "node", "i", "j").sortWithinPartitions("node", "i", "j", "rest")
+    edges = materialise(tries.mapInArrow(lambda it: _trie_edges(it, floor, threshold), "a long, b long").distinct(), "candidates")
+    member = materialise(components(edges).withColumnRenamed("node", "rid").join(reps.select("rid", "n"), "rid"), "clusters")
+    blocks = member.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return materialise(hot_join(member, materialise(blocks, "blocks"), "root", "members").select("rid", "root", "blocks"), "members")
 
 
 def _links(rows: DataFrame, member: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -295,24 +414,23 @@ def _links(rows: DataFrame, member: DataFrame, size: int, threshold: float) -> D
 def _decide(rows: DataFrame, size: int, threshold: float) -> DataFrame:
     """rows (rid, id, text) to (rid, id, class_id, copies, n_links, group_id, group_rid)."""
     ship(rows.sparkSession)
-    docs, reps = _representatives(rows, size)
-    links = _links(rows, _clusters(reps, prefix_depth(threshold)), size, threshold)
+    signed, classes, reps = _representatives(rows, size, threshold)
+    links = _links(rows, _clusters(reps, threshold), size, threshold)
     counted = links.groupBy("rid").agg(F.sum("links").alias("n_links"))
-    group = components(links.selectExpr("rid as a", "to as b"), "groups").withColumnRenamed("node", "rid")
-    classes = docs.where("rid = rep").select("rid", "class_id")
-    named = group.join(classes, "rid")
-    best = named.groupBy("root").agg(F.max(F.struct("class_id", "rid")).alias("best"))
-    grouped = named.join(best, "root").join(counted, "rid").select(F.col("rid").alias("rep"), "n_links", F.col("best.class_id").alias("group_id"), F.col("best.rid").alias("group_rid"))
-    out = docs.join(materialise(grouped, "grouped"), "rep", "left")
-    return out.select(
-        "rid",
-        "id",
+    group = components(links.selectExpr("rid as a", "to as b")).withColumnRenamed("node", "rid")
+    named = materialise(group.join(classes.select(F.col("rep").alias("rid"), "class_id"), "rid"), "groups")
+    best = materialise(named.groupBy("root").agg(F.max(F.struct("class_id", "rid")).alias("best"), F.count(F.lit(1)).alias("members")), "group-heads")
+    grouped = hot_join(named, best, "root", "members").join(counted, "rid").select(F.col("rid").alias("rep"), "n_links", F.col("best.class_id").alias("group_id"), F.col("best.rid").alias("group_rid"))
+    # What is known of a class is put together first: one row a class, so rows meet it in one join.
+    told = classes.join(grouped, "rep", "left").select(
+        "key",
         "class_id",
         "copies",
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("group_rid").isNull(), F.col("class_id")).otherwise(F.col("group_id")).alias("group_id"),
         F.coalesce("group_rid", "rep").alias("group_rid"),
     )
+    return hot_join(signed.select("rid", "id", "key"), materialise(told, "decided"), "key", "copies").drop("key")
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
