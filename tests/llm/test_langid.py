@@ -1,6 +1,9 @@
 import math
 import random
+import re
+import unicodedata
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,4 +66,68 @@ def test_held_out_accuracy(spark, sf_dir):
 
 @pytest.mark.parametrize("text", ["a b", "ä" * 3_000_000, "ab " * 700_000 + "x"])
 def test_long_texts_count_whole_words(text):
-    assert langid.word_counts(text) == langid.Counter(langid.WORD.findall(text.lower()))
+    assert langid.word_counts(text) == langid.Counter(langid._patterns()[0].findall(text.lower()))
+
+
+def test_words_are_letters_and_their_marks():
+    words = lambda t: list(langid.word_counts(t))
+    assert words("हिन्दी भाषा") == ["हिन्दी", "भाषा"] and words("½ ² Ⅷ 12 _ \u0301") == [] and words("a1b_c") == ["a", "b", "c"]
+    for c in range(0x3000):
+        assert bool(words(chr(c))) == (unicodedata.category(chr(c))[0] == "L" and unicodedata.category(chr(c).lower()[0])[0] == "L"), hex(c)
+
+
+def plain(texts, learn):
+    """Training and scoring in plain Python, without bounds that small data would meet."""
+    counts = {k: {} for k in range(6)}
+    runs = lambda t: re.findall(r"(?:[^\W\d_])+", t.lower())
+    for text, lang in learn:
+        for w in runs(text):
+            for size in range(1, 6):
+                marked = w if size == 1 else f"<{w}>"
+                for i in range(len(marked) - size + 1):
+                    counts[size].setdefault(marked[i : i + size], Counter())[lang] += 1
+            if len(w) <= 64:
+                counts[0].setdefault(w, Counter())[lang] += 1
+    counts = {k: {x: c for x, c in items.items() if sum(c.values()) > 1} for k, items in counts.items()}
+    langs = sorted({lang for _, lang in learn})
+    score = {}
+    for k, items in counts.items():
+        for lang in langs:
+            total = sum(c[lang] for c in items.values()) + 0.1 * (len(items) + 1)
+            for x, c in items.items():
+                score[k, x, lang] = math.log((c[lang] + 0.1) / total)
+    out = []
+    for text in texts:
+        words = runs(text or "")
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        sums = dict.fromkeys(langs, 0.0)
+        for w in words:
+            found = [(0, w)] if w in counts[0] else []
+            for size in range(5, 0, -1):
+                if not found:
+                    marked = w if size == 1 else f"<{w}>"
+                    found = [(size, marked[i : i + size]) for i in range(len(marked) - size + 1) if marked[i : i + size] in counts[size]]
+            for lang in langs:
+                sums[lang] += sum(score[k, x, lang] for k, x in found) / max(1, len(found))
+        top = {lang: v / math.sqrt(len(words)) for lang, v in sums.items()}
+        best = max(langs, key=lambda lang: (top[lang], [-ord(c) for c in lang]))
+        out.append((best, 1 / sum(math.exp(v - top[best]) for v in top.values())))
+    return out
+
+
+def test_against_plain_python(spark):
+    draw = random.Random(8)
+    learn = [(" ".join(draw.choices(WORDS[lang], k=9)) + draw.choice(["", " xy" * 30, " " + "lang" * 30 + lang]), lang) for lang in ("en", "de") * 60]
+    texts = ["tree house", "baumhaus wasserfall", "langlang" * 20, "qqq", "thereof 12", "", None, "xyxy there", "w"]
+    model = langid.train(spark.createDataFrame(learn + learn[:3], "text string, lang string"))
+    for (lang, score), (want, p) in zip(langid.Scorer(model).predict(texts), plain(texts, learn + learn[:3])):
+        assert lang == want and abs(score - p) < 1e-5
+
+
+def test_languages_are_bounded_and_names_are_guarded(spark):
+    df = spark.createDataFrame([(f"wort{k} gut gut", f"l{k % 7}") for k in range(70)] + [("gut", "rare")], "text string, lang string")
+    assert langid.train(df, max_languages=7).languages == [f"l{k}" for k in range(7)]
+    with pytest.raises(ValueError):
+        langid.predict(df.withColumn("score", F.lit(1)), langid.train(df))
