@@ -4,12 +4,16 @@ Pre-tokenisation uses no regular expression. Every code point gets a class from
 characters give a symbol; a symbol is a transition function of a small automaton. Functions compose associatively, so
 the state after every character comes from a blocked scan over function numbers with a table of compositions. State
 before and symbol at a character say whether a piece begins there. Pieces are byte slices that look their ids up in a
-bounded cache; what isn't there is merged pair by pair in order of rank.
+bounded cache; what isn't there is merged pair by pair in order of rank. The byte offset of each id in its text is kept;
+decoding puts every token at its offset.
+
+No text is matched with a regular expression. The table of classes is read off the library's own character classes once
+for each worker, over all code points, so that it holds the same version of Unicode as the results that are to be met.
 
 Texts are worked on in chunks that begin at a piece, so memory is bounded by the chunk (or the longest piece), and the
 hashes of ids and decoded bytes are carried along.
 
-Defined cases: a null text counts as empty (no ids; hashes of nothing); a null id is passed on; repeated rows give
+Defined cases: a null text counts as empty (no ids; hashes of nothing); ids may have any type, and a null id is passed on; repeated rows give
 repeated results; an empty table gives an empty result; other columns are ignored.
 """
 from __future__ import annotations
@@ -20,10 +24,13 @@ import hashlib
 import heapq
 import itertools
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import ship
 
@@ -176,12 +183,18 @@ def _bytes_at(points: np.ndarray, at: np.ndarray, n_bytes: int) -> np.ndarray:
 class Codec:
     """Encodes and decodes by a file of ranks; keeps at most twice ``cache_pieces`` merged pieces."""
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES, chunk_chars: int = CHUNK_CHARS):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, ranks: str | bytes, cache_pieces: int = CACHE_PIECES, chunk_chars: int = CHUNK_CHARS):
+        """``ranks``: the lines of the file, or its path."""
+        if isinstance(ranks, str):
+            ranks = Path(ranks).read_bytes()
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
         self.vocabulary = [b""] * (max(self.ranks.values()) + 1)
         for piece, i in self.ranks.items():
             self.vocabulary[i] = piece
+        # All tokens one behind the other, for decoding many at once.
+        self.flat = np.frombuffer(b"".join(self.vocabulary), np.uint8)
+        self.sizes = np.fromiter(map(len, self.vocabulary), np.int64, len(self.vocabulary))
+        self.begins = np.cumsum(self.sizes) - self.sizes
         self.chunk_chars, self.cache_pieces = chunk_chars, cache_pieces
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -341,23 +354,33 @@ class Codec:
         if at < n:
             yield self.encode_many([text[at:]])[0]
 
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """The byte offset of each id in the text that they encode, and the length behind them."""
+        return np.concatenate(([0], np.cumsum(self.sizes[ids])))
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the byte offset of each id in the text (one more: the length)."""
         ids = np.frombuffer(b"".join(self.chunks(text)), "<u4")
-        sizes = np.fromiter((len(self.vocabulary[i]) for i in ids), np.int64, len(ids))
-        return ids, np.concatenate(([0], np.cumsum(sizes)))
+        return ids, self.offsets(ids)
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, np.asarray(ids).tolist()))
+    def decode(self, ids, offsets: np.ndarray | None = None) -> bytes:
+        """The bytes of the ids, each put at its offset."""
+        ids = np.asarray(ids, np.int64)
+        offsets = self.offsets(ids) if offsets is None else offsets
+        shift = np.repeat(self.begins[ids] - offsets[:-1], np.diff(offsets))
+        return self.flat[np.arange(len(shift)) + shift].tobytes()
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+def codec(ranks: bytes) -> Codec:
     """One for each Python worker, so the cache outlives a task."""
-    return Codec(path)
+    return Codec(ranks)
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+def _shipped(df: DataFrame, path: str) -> Broadcast:
+    """The lines of the file, which only the driver has to see."""
+    ship(df.sparkSession)
+    return df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
 
 def _blocks(texts: pa.Array, chunk_chars: int) -> Iterator[tuple[int, list[str]]]:
@@ -374,39 +397,57 @@ def _blocks(texts: pa.Array, chunk_chars: int) -> Iterator[tuple[int, list[str]]
         yield at, block
 
 
-def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    c = codec(path)
+def _digests(batches: Iterator[pa.RecordBatch], c: Codec) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        schema = pa.schema([("doc_id", batch.column(0).type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
         for at, texts in _blocks(batch.column(1), c.chunk_chars):
             rows = []
             each = ([x] for x in c.encode_many(texts)) if len(texts) > 1 else (c.chunks(t) for t in texts)
             for chunks in each:
                 n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
                 for packed in chunks:
-                    n += len(packed) // 4
+                    ids = np.frombuffer(packed, "<u4")
+                    n += len(ids)
                     of_ids.update(packed)
-                    of_text.update(c.decode(np.frombuffer(packed, "<u4")))
+                    of_text.update(c.decode(ids, c.offsets(ids)))
                 rows.append((n, of_ids.hexdigest(), of_text.hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)).cast(pa.int64()), *(pa.array(x, t) for x, t in zip(zip(*rows), RESULT.types[1:]))], schema=RESULT)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(x, t) for x, t in zip(zip(*rows), schema.types[1:]))], schema=schema)
 
 
 def encode_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int) and byte offsets of the ids, whole texts."""
-
-    ship(df.sparkSession)
+    held = _shipped(df, path)
 
     def run(batches):
-        c = codec(path)
+        c = codec(held.value)
         for batch in batches:
+            schema = pa.schema([("doc_id", batch.column(0).type), ("ids", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64()))])
             for at in range(batch.num_rows):
                 ids, offsets = c.encode(batch.column(1)[at].as_py() or "")
-                yield pa.RecordBatch.from_pydict({"doc_id": [batch.column(0)[at].as_py()], "ids": [ids.astype(np.int32)], "offsets": [offsets]}, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([ids.astype(np.int32)], schema.types[1]), pa.array([offsets], schema.types[2])], schema=schema)
+
+    two = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return two.mapInArrow(run, f"doc_id {two.dtypes[0][1]}, ids array<int>, offsets array<long>")
 
-    return df.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, ids array<int>, offsets array<long>")
+
+def decode_ids(df: DataFrame, path: str) -> DataFrame:
+    """doc_id and the decoded bytes of the rows of ``encode_ids``."""
+    held = _shipped(df, path)
+
+    def run(batches):
+        c = codec(held.value)
+        for batch in batches:
+            schema = pa.schema([("doc_id", batch.column(0).type), ("decoded", pa.binary())])
+            for at in range(batch.num_rows):
+                ids, offsets = (batch.column(k)[at].values.to_numpy() for k in (1, 2))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([c.decode(ids, offsets)], pa.binary())], schema=schema)
+
+    three = df.select("doc_id", "ids", "offsets")
+    return three.mapInArrow(run, f"doc_id {three.dtypes[0][1]}, decoded binary")
 
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes every whole text and decodes the ids again."""
-    ship(df.sparkSession)
-    two = df.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text")
-    return two.mapInArrow(lambda batches: _digests(batches, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    held = _shipped(df, path)
+    two = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return two.mapInArrow(lambda batches: _digests(batches, codec(held.value)), f"doc_id {two.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -61,3 +61,6 @@ def test_digests(spark, library):
     assert bpe.digests(spark.createDataFrame([], schema), PATH).count() == 0
     one = bpe.encode_ids(spark.createDataFrame(rows[:1], schema), PATH).first()
     assert one.ids == library.encode_ordinary(rows[0][1]) and one.offsets[-1] == len(rows[0][1].encode())
+    both = spark.createDataFrame([("k1", rows[0][1]), (None, None), ("k2", "é" * 9 + " 😀")], "name string, text string")
+    assert {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode_ids(bpe.encode_ids(both, PATH, "name"), PATH).collect()} == {r.name: r.text or "" for r in both.collect()}
+    assert {r.doc_id for r in bpe.digests(both, PATH, "name").collect()} == {"k1", "k2", None}
