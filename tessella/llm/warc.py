@@ -7,11 +7,14 @@ response, the others are revisits of it without a payload. Which payloads occur
 pages are not shuffled to find out. ``read`` takes any selection of index rows, deals it out by (file, offset) and reads
 neighbouring records together, at most ``RANGE_BYTES`` at a time.
 
+Every file begins with a ``warcinfo`` record. Record ids come from row ids, so no two records share one. Reading is dealt out
+by bytes, ``READ_TASK_BYTES`` to a task, so a task reads as much of a large archive as of a small one.
+
 A task writes files of its own with a name of its own and the index is committed by Spark, so a task that is run again
 leaves at most a file that no index row names.
 
 Defined cases: a null payload counts as empty; a null id is smaller than any other and written as none; of equal payloads
-with equal largest ids the last in the scan is the response; repeated rows are records of their own; a null URL is empty;
+with equal largest ids the last in the order of files and rows is the response; repeated rows are records of their own; a null URL is empty;
 an empty table gives an empty index; other columns are ignored.
 """
 from __future__ import annotations
@@ -27,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, drop_rows, materialise, probe, reserve, scratch_path, ship, sieve, with_row_id
+from .common import OWN, drop_rows, hot_join, materialise, probe, reserve, scratch_path, ship, sieve, with_row_id
 
 MIN_REVISIT = 1000
 FILE_BYTES = 1 << 30
 RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
+READ_TASK_BYTES = 64 << 20
 LEVEL = 1
 DATE = "2020-01-01T00:00:00Z"  # fixed, so equal input gives equal archives
 
@@ -54,8 +58,19 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def record(page_id: int | None, url: str | None, digest: str, payload: bytes | None, payload_bytes: int, refers_to: int | None) -> bytes:
-    """One uncompressed record; without a payload a revisit."""
+def _urn(row: int | str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'tessella:{row}')}>"
+
+
+def info(name: str) -> bytes:
+    """The record that a file begins with."""
+    body = b"software: tessella\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {_urn(name)}", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def record(page_id: int | None, url: str | None, digest: str, payload: bytes | None, payload_bytes: int, refers_to: int | None, row: int = 0, refers_to_row: int | None = None) -> bytes:
+    """One uncompressed record; without a payload a revisit. ``row`` and ``refers_to_row`` tell records apart."""
     revisit = payload is None
     sha1 = base64.b32encode(bytes.fromhex(digest)).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
@@ -63,7 +78,7 @@ def record(page_id: int | None, url: str | None, digest: str, payload: bytes | N
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}')}>",
+        f"WARC-Record-ID: {_urn(row)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {quote(url or '', safe=_SAFE)}",
         f"WARC-Payload-Digest: sha1:{sha1}",
@@ -75,8 +90,10 @@ def record(page_id: int | None, url: str | None, digest: str, payload: bytes | N
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        if refers_to_row is not None:
+            head.append(f"WARC-Refers-To: {_urn(refers_to_row)}")
         if refers_to is not None:
-            head += [f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers_to}')}>", f"X-Refers-To-Page-ID: {refers_to}"]
+            head.append(f"X-Refers-To-Page-ID: {refers_to}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -98,6 +115,11 @@ def parse(raw: bytes) -> dict:
     return {"page_id": number("X-Page-ID"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number("X-Refers-To-Page-ID"), "payload": payload}
 
 
+def _member(raw: bytes, level: int) -> bytes:
+    deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return deflate.compress(raw) + deflate.flush()
+
+
 def _writer(folder: str, level: int, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(folder)
@@ -106,14 +128,15 @@ def _writer(folder: str, level: int, file_bytes: int):
             for batch in batches:
                 rows = []
                 for i in range(batch.num_rows):
-                    page_id, url, digest, size, refers_to, payload = (batch.column(k)[i].as_py() for k in range(6))
+                    page_id, url, digest, size, refers_to, payload, row, refers_to_row = (batch.column(k)[i].as_py() for k in range(8))
                     if out is None or at >= file_bytes:
                         if out is not None:
                             out.close()
-                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        name = f"{uuid.uuid4().hex}.warc.gz"
                         out = store.open_output_stream(f"{base}/{name}", compression=None)
-                    deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    packed = deflate.compress(record(page_id, url, digest, payload, size, refers_to)) + deflate.flush()
+                        out.write(first := _member(info(name), level))
+                        at = len(first)
+                    packed = _member(record(page_id, url, digest, payload, size, refers_to, row, refers_to_row), level)
                     out.write(packed)
                     rows.append((name, at, len(packed), url, digest, page_id, "revisit" if payload is None else "response", size, refers_to))
                     at += len(packed)
@@ -140,11 +163,11 @@ def write(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url
     again = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").count().where("count > 1").select(key.alias("k"))
     seen = probe(rows, key, sieve(again, "k", "payloads", sieve_bits), OWN + "hit")
     several = materialise(seen.where(F.col(OWN + "hit") & (F.col("size") >= MIN_REVISIT)).select(_RID, "page_id", "url", "digest", "size"), "copies")
-    best = several.groupBy("digest").agg(F.max(F.struct("page_id", _RID)).alias("best"))
-    later = several.join(best, "digest").where(F.col(_RID) != F.col("best")[_RID])
-    revisits = materialise(later.select(_RID, "page_id", "url", "digest", "size", F.col("best.page_id").alias("refers_to")), "revisits")
-    responses = drop_rows(rows, _RID, revisits, "revisits-sieve").withColumn("refers_to", F.lit(None).cast("long"))
-    order = ["page_id", "url", "digest", "size", "refers_to", "payload"]
+    best = several.groupBy("digest").agg(F.max(F.struct("page_id", _RID)).alias("best"), F.count(F.lit(1)).alias("n"))
+    later = hot_join(several, materialise(best, "payload-heads"), "digest", "n").where(F.col(_RID) != F.col("best")[_RID])
+    revisits = materialise(later.select(_RID, "page_id", "url", "digest", "size", F.col("best.page_id").alias("refers_to"), F.col("best")[_RID].alias("refers_to_row")), "revisits")
+    responses = drop_rows(rows, _RID, revisits, "revisits-sieve").withColumns({"refers_to": F.lit(None).cast("long"), "refers_to_row": F.lit(None).cast("long")})
+    order = ["page_id", "url", "digest", "size", "refers_to", "payload", _RID, "refers_to_row"]
     run = _writer(folder, level, file_bytes)
     both = responses.select(*order).mapInArrow(run, INDEX).unionByName(revisits.withColumn("payload", F.lit(None).cast("binary")).select(*order).mapInArrow(run, INDEX))
     return folder, materialise(both, "warc-index")
@@ -190,7 +213,9 @@ def read(folder: str, selected: DataFrame, payloads: bool = False) -> DataFrame:
         if source is not None:
             source.close()
 
-    dealt = selected.select("file", "offset", "length", "url").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(selected.sparkSession.sparkContext.defaultParallelism, -(-size // READ_TASK_BYTES))
+    dealt = selected.select("file", "offset", "length", "url").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, RECORD)
 
 

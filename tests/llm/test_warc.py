@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import re
 
 import pytest
 
@@ -50,13 +51,18 @@ def test_index_and_selection(spark):
     got = warc.read(folder, index.where("url like '%/8' or page_id = 13"), payloads=True).collect()
     assert {(r.page_id, r.url, bytes(r.payload)) for r in got} == {(8, "http://a/8", b""), (13, "u", b"w" * 300_000)}
     store, base = warc.filesystem(folder)
-    rows = index.collect()
+    rows, ids, named = index.collect(), [], []
     for file in {r.file for r in rows}:
         with store.open_input_file(f"{base}/{file}") as f:
             raw = f.read()
         mine = sorted((r.offset, r.length) for r in rows if r.file == file)
-        assert mine[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:])) and sum(mine[-1]) == len(raw)
-        assert gzip.open(io.BytesIO(raw)).read().count(b"WARC/1.1\r\nWARC-Type") == len(mine)
+        assert all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:])) and sum(mine[-1]) == len(raw)
+        assert gzip.decompress(raw[: mine[0][0]]).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+        plain = gzip.open(io.BytesIO(raw)).read()
+        assert plain.count(b"WARC/1.1\r\nWARC-Type") == len(mine) + 1
+        ids += re.findall(rb"WARC-Record-ID: (\S+)", plain)
+        named += re.findall(rb"WARC-Refers-To: (\S+)", plain)
+    assert len(set(ids)) == len(ids) and set(named) <= set(ids) and len(named) == sum(r.record_type == "revisit" for r in rows)
 
 
 def test_ranges():
