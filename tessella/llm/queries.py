@@ -139,10 +139,7 @@ lw AS (
     lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS normal
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY rid),
-hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
-common AS (
-  SELECT c.source, c.normal FROM (SELECT source, normal, count(DISTINCT rid) AS n FROM lw GROUP BY source, normal) c
-  JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n > 5 AND c.n > 0.01 * h.docs),
+common AS (SELECT source, normal FROM lw GROUP BY source, normal HAVING count(DISTINCT rid) > 5),
 gone AS (SELECT lw.rid, sum(lw.n) AS n FROM lw JOIN common c ON lw.source IS NOT DISTINCT FROM c.source AND lw.normal = c.normal GROUP BY lw.rid),
 base AS (
   SELECT d.doc_id, len(w.words) AS n_words, length(array_to_string(w.words, '')) AS word_chars,
