@@ -3,17 +3,18 @@ documents are sampled by the calibrated probabilities.
 
 Tokens are added up in cells (one for each combination of source, language and topic). Each sweep multiplies the weights
 of the cells so that first the sources, then the languages, then the topics have their target totals; after ``sweeps``
-sweeps all of them nearly do. A document's probability is the weight of its cell divided by the largest weight of a cell
-with tokens, so the expected tokens of every marginal are in the proportions of the targets and no document is repeated.
-Whether a document stays depends on its id and the seed alone.
+sweeps all of them nearly do (``report`` says how nearly). A document's probability is the weight of its cell times a factor,
+at most 1, and the factor is such that the expected tokens of the sample come to ``share`` of all tokens: cells that are
+wanted more often than they exist are taken whole, the others make up the rest in the proportions of their weights. A tiny
+cell can therefore not decide how much of the corpus stays. Whether a document stays depends on its id and the seed alone.
 
-The largest weight can be that of a tiny cell, which then decides how much of the corpus goes. With ``volume`` the weights
-are scaled instead so that the expected tokens come to that number: a document is taken as often as the whole part of its
-scaled weight says, and once more with the probability of the rest. Rare cells are repeated, common ones keep their part.
+With ``volume`` the weights are scaled to that number of expected tokens with repeats instead: a document is taken as often
+as the whole part of its scaled weight says, and once more with the probability of the rest, so targets are met exactly.
 
 A marginal's target is its share of the tokens to the power ``temper`` (1: as it is, 0: all alike), or given by
-``targets``. Cells are broadcast where they are at most ``BROADCAST_CELLS``, else joined by a shuffle; the tables of the
-fit stay as large as the cells, and small ones are fitted in one partition without exchanges.
+``targets``. The topic is a column (``topic_col``) or else a rule over the text (``TOPICS``, a plain default). Cells are
+broadcast where they are at most ``BROADCAST_CELLS``, else joined by a shuffle; the tables of the fit stay as large as the
+cells, and small ones are fitted in one partition without exchanges. Both ways give the same rows.
 
 Defined cases: a null source, language or topic is a value of its own; a null text has no tokens and the topic ``none``; a
 document without tokens has the probability of its cell (at most 1); values without tokens, or without a target, keep
@@ -22,15 +23,17 @@ columns pass through ``sample`` whatever their names.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import OWN, drop_materialised, drop_rows, materialise, probe, reserve, sieve, with_row_id
+from .common import OWN, drop_materialised, materialise, reserve
 
 SWEEPS, TEMPER, SEED = 8, 0.7, "mix-1"
+SHARE = 0.75
 BROADCAST_CELLS = 200_000
 DIGITS = 9
 
@@ -110,20 +113,39 @@ def _fit_small(cells: DataFrame, dims: Sequence[str], temper: float, sweeps: int
     return g.select(*dims, "n", "g")
 
 
-def _weighted(rows: DataFrame, dims: Sequence[str], temper: float, sweeps: int, targets: DataFrame | None, volume: float | None = None) -> DataFrame:
-    """``rows`` (dims, tokens ``n``, ...) with weight and probability, and with ``rate``, the expected copies, if there is a volume. Texts are read once: what is known of them is written."""
-    rows = materialise(rows, "token-counts")
+def factor(g: DataFrame, volume: float) -> float:
+    """The factor of the weights at which the expected tokens, with probabilities of at most 1, come to ``volume``.
+
+    Each round takes the cells that the last factor fills whole out of the sum; they only become more, so it ends.
+    """
+    at, whole = 0.0, -1
+    while True:
+        full = F.col("g") * at >= 1.0
+        held, rest, now = g.where("n > 0").agg(F.sum(F.when(full, F.col("n"))), F.sum(F.when(~full, F.col("g") * F.col("n"))), F.count_if(full)).first()
+        if now == whole or not rest:
+            return at if rest else math.inf
+        at, whole = max(0.0, volume - (held or 0)) / rest, now
+
+
+def _cells(rows: DataFrame, dims: Sequence[str], temper: float, sweeps: int, targets: DataFrame | None, share: float, volume: float | None) -> tuple[DataFrame, bool]:
+    """The cells with weight, probability and rate (expected copies, with a volume), and whether they may be broadcast."""
     cells = materialise(rows.groupBy(*dims).agg(F.sum("n").alias("n")), "cells")
-    g = fit(cells, dims, temper, sweeps, targets)
-    most, raked = g.agg(F.max(F.when(F.col("n") > 0, F.col("g"))), F.sum(F.col("g") * F.col("n"))).first()
-    rate = F.col("g") / (most or 1.0) if volume is None else F.col("g") * (volume / (raked or 1.0))
-    told = g.select(*[F.col(d).alias(OWN + d) for d in dims], F.round("g", DIGITS).alias("weight"), F.round(F.least(rate, F.lit(1.0)), DIGITS).alias("probability"), *([] if volume is None else [F.round(rate, DIGITS).alias("rate")]))
+    g = materialise(fit(cells, dims, temper, sweeps, targets), "weights")
+    total, raked, count = g.agg(F.sum("n"), F.sum(F.col("g") * F.col("n")), F.count(F.lit(1))).first()
+    by = volume / (raked or 1.0) if volume is not None else factor(g, share * (total or 0))
+    rate = F.col("g") * by if math.isfinite(by) else F.lit(1.0)
+    rate = rate if volume is not None else F.least(rate, F.lit(1.0))
+    told = g.select(*[F.col(d).alias(OWN + d) for d in dims], "n", F.round("g", DIGITS).alias("weight"), F.round(F.least(rate, F.lit(1.0)), DIGITS).alias("probability"), F.round(rate, DIGITS).alias("rate"))
+    return told, count <= BROADCAST_CELLS
+
+
+def _told(rows: DataFrame, dims: Sequence[str], told: DataFrame, small: bool) -> DataFrame:
+    """``rows`` with what is known of their cells."""
+    told = told.drop("n")
     same = rows[dims[0]].eqNullSafe(told[OWN + dims[0]])
     for d in dims[1:]:
         same = same & rows[d].eqNullSafe(told[OWN + d])
-    if cells.count() <= BROADCAST_CELLS:
-        told = F.broadcast(told)
-    return rows.join(told, same, "left").drop(*[OWN + d for d in dims])
+    return rows.join(F.broadcast(told) if small else told, same, "left").drop(*[OWN + d for d in dims])
 
 
 def _copies(id_col: Column, seed: str) -> Column:
@@ -132,28 +154,46 @@ def _copies(id_col: Column, seed: str) -> Column:
     return whole + (uniform(id_col, seed) < F.col("rate") - whole).cast("long")
 
 
-def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: float = TEMPER, sweeps: int = SWEEPS, seed: str = SEED, targets: DataFrame | None = None, volume: float | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight, probability, kept, and with a volume copies; one row per input row."""
+def _thin(df: DataFrame, keep: dict[str, Column], source_col: str, lang_col: str, topic_col: str | None, text_col: str) -> DataFrame:
     text = F.col(text_col)
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), topic(F.coalesce(text, F.lit(""))).alias("topic"), tokens(text).alias("n"))
-    out = _weighted(rows, ["source", "lang", "topic"], temper, sweeps, targets, volume)
+    label = F.col(topic_col) if topic_col else topic(F.coalesce(text, F.lit("")))
+    return df.select(*[c.alias(n) for n, c in keep.items()], F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), label.alias("topic"), tokens(text).alias("n"))
+
+
+DIMS = ("source", "lang", "topic")
+
+
+def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: float = TEMPER, sweeps: int = SWEEPS, seed: str = SEED, targets: DataFrame | None = None, volume: float | None = None, share: float = SHARE, topic_col: str | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, weight, probability, kept, and with a volume copies; one row per input row.
+
+    Texts are read once: what is known of them is written."""
+    rows = materialise(_thin(df, {"doc_id": F.col(id_col)}, source_col, lang_col, topic_col, text_col), "token-counts")
+    out = _told(rows, DIMS, *_cells(rows, DIMS, temper, sweeps, targets, share, volume))
     if volume is not None:
         out = out.withColumn("copies", _copies(F.col("doc_id"), seed))
         return out.select("doc_id", "source", "lang", "topic", F.col("n").alias("n_tokens"), "weight", "probability", (F.col("copies") > 0).alias("kept"), "copies")
     return out.select("doc_id", "source", "lang", "topic", F.col("n").alias("n_tokens"), "weight", "probability", (uniform(F.col("doc_id"), seed) < F.col("probability")).alias("kept"))
 
 
-def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: float = TEMPER, sweeps: int = SWEEPS, seed: str = SEED, targets: DataFrame | None = None, volume: float | None = None) -> DataFrame:
-    """The sampled rows with their columns; texts are not shuffled, but for those that a volume repeats."""
-    text, rid = F.col(text_col), OWN + "rid"
-    rows = with_row_id(reserve(df), rid)
-    thin = rows.select(rid, F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), topic(F.coalesce(text, F.lit(""))).alias("topic"), tokens(text).alias("n"))
-    out = _weighted(thin, ["source", "lang", "topic"], temper, sweeps, targets, volume)
+def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: float = TEMPER, sweeps: int = SWEEPS, seed: str = SEED, targets: DataFrame | None = None, volume: float | None = None, share: float = SHARE, topic_col: str | None = None) -> DataFrame:
+    """The sampled rows with their columns. The probability is a function of cell and id, so rows are filtered where they are
+    read again and no text is shuffled (but where there are too many cells to broadcast)."""
+    own = {d: OWN + "of_" + d for d in DIMS}
+    told, small = _cells(_thin(reserve(df), {}, source_col, lang_col, topic_col, text_col), DIMS, temper, sweeps, targets, share, volume)
+    label = F.col(topic_col) if topic_col else topic(F.coalesce(F.col(text_col), F.lit("")))
+    rows = df.withColumns({OWN + "id": F.col(id_col), own["source"]: F.col(source_col), own["lang"]: F.col(lang_col), own["topic"]: label})
+    names = {"weight": OWN + "weight", "probability": OWN + "probability", "rate": OWN + "rate"} | {OWN + d: OWN + own[d] for d in DIMS}
+    out = _told(rows, list(own.values()), told.withColumnsRenamed(names), small)
     if volume is not None:
-        times, key = OWN + "times", F.xxhash64(rid)
-        other = materialise(out.select(rid, _copies(F.col("id"), seed).cast("int").alias(times)).where(F.col(times) != 1), "copies")
-        seen = probe(rows, key, sieve(other.select(key.alias("k")), "k", "copies-sieve"), OWN + "hit")
-        some = seen.where(OWN + "hit").join(other, rid, "left").withColumn(times, F.explode(F.array_repeat(F.lit(0), F.coalesce(times, F.lit(1)))))
-        return seen.where(~F.col(OWN + "hit")).select(*df.columns).unionByName(some.select(*df.columns))
-    losers = materialise(out.where(uniform(F.col("id"), seed) >= F.col("probability")).select(rid), "losers")
-    return drop_rows(rows, rid, losers, "losers-sieve").select(*df.columns)
+        rate = F.col(OWN + "rate")
+        copies = F.floor(rate) + (uniform(F.col(OWN + "id"), seed) < rate - F.floor(rate)).cast("long")
+        return out.withColumn(OWN + "copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*df.columns)
+    return out.where(uniform(F.col(OWN + "id"), seed) < F.col(OWN + "probability")).select(*df.columns)
+
+
+def report(decided: DataFrame) -> DataFrame:
+    """dim, value, tokens, raked (tokens times weight: the targets, as nearly as the sweeps came) and expected (tokens that the
+    probabilities keep), of rows of ``decide``; one row for each value of a marginal."""
+    cells = decided.groupBy(*DIMS).agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("weight")).alias("raked"), F.sum(F.col("n_tokens") * F.col("probability")).alias("expected"))
+    each = cells.select("n", "raked", "expected", F.inline(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in DIMS])))
+    return each.groupBy("dim", "value").agg(F.sum("n").alias("tokens"), F.sum("raked").alias("raked"), F.sum("expected").alias("expected"))

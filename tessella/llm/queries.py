@@ -88,9 +88,12 @@ def op5_sql() -> str:
                 f" FROM g{k} c JOIN s{k} s ON c.{dim} IS NOT DISTINCT FROM s.v JOIN a_{dim} a ON c.{dim} IS NOT DISTINCT FROM a.v CROSS JOIN total)"
             )
             k += 1
-    parts.append(f"most AS (SELECT max(g) FILTER (WHERE n > 0) AS most FROM g{k})")
+    # The factor: cells by falling weight; of those that could be taken whole as few as leave every other probability below 1.
+    parts.append(f"w AS (SELECT g, sum(n)::DOUBLE AS n, sum(g * n) AS m FROM g{k} WHERE n > 0 GROUP BY g)")
+    parts.append("c AS (SELECT g, coalesce(sum(n) OVER (ORDER BY g DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(m) OVER (ORDER BY g ROWS UNBOUNDED PRECEDING) AS rest FROM w)")
+    parts.append(f"most AS (SELECT coalesce(max((greatest({mixing.SHARE} * total - held, 0)) / rest) FILTER (WHERE g * greatest({mixing.SHARE} * total - held, 0) / rest < 1), 1e300) AS f FROM c CROSS JOIN total)")
     uniform = f"('0x' || substr(md5('{mixing.SEED}:' || d.doc_id), 1, 12))::BIGINT / {float(1 << 48)}"
-    parts.append(f"p AS (SELECT source, lang, topic, round(g, 9) AS weight, round(least(g / most, 1.0), 9) AS probability FROM g{k} CROSS JOIN most)")
+    parts.append(f"p AS (SELECT source, lang, topic, round(g, 9) AS weight, round(least(g * f, 1.0), 9) AS probability FROM g{k} CROSS JOIN most)")
     same = " AND ".join(f"d.{x} IS NOT DISTINCT FROM p.{x}" for x in dims)
     return f"WITH {', '.join(parts)} SELECT d.doc_id, d.source, d.lang, d.topic, CAST(d.n AS BIGINT) AS n_tokens, p.weight, p.probability, {uniform} < p.probability AS kept FROM d JOIN p ON {same}"
 
