@@ -43,3 +43,31 @@ def test_against_the_lines_of_the_corpus(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = {r.doc_id: ",".join(sorted({f for line, f in lines.items() if line in re.split("\n", r.text or "")})) for r in docs.select("doc_id", "text").collect()}
     assert {r.doc_id: r.families for r in license.scan(docs).collect()} == want
+
+
+#: Notices and paragraphs whose wording is in no template, with the family that is to be found (None: no licence).
+UNSEEN = [
+    ("This project is distributed under the MIT License, see the file COPYING.", "mit"),
+    ("Code in this folder is licensed under the Apache License, Version 2.0, unless stated otherwise.", "apache"),
+    ("Foo is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 2, or any later version.", "gpl"),
+    ("You should have received a copy of the GNU Affero General Public License along with Foo.", "agpl"),
+    ("The contents of this file are subject to the terms of the Mozilla Public License, v. 2.0.", "mpl"),
+    ("All images are licensed under a Creative Commons Attribution-NonCommercial 4.0 International License by the museum.", "cc-by-nc"),
+    ("Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without prior permission.", "bsd"),
+    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.", "isc"),
+    ("This is free and unencumbered software which the town released into the public domain.", "unlicense"),
+    ("Distributed under the Boost Software License, see the accompanying file.", "bsl"),
+    ("The museum was free to all visitors and the terms of the visit were published.", None),
+    ("Anyone is free to walk in the garden for any purpose.", None),
+    ("The program of the concert may be changed without notice.", None),
+    ("The general gave the public a license to hunt in the forest.", None),
+]
+
+
+def test_wordings_that_are_no_templates(spark):
+    assert not {t for t, _ in UNSEEN} & {t for texts in license.TEMPLATES.values() for t in texts}
+    rows = [(k, text, "x", "y") for k, (text, _) in enumerate(UNSEEN)] + [(100 + i, f"{PROSE} Number {i} of many lines.", "x", "y") for i in range(200)]
+    got = {r.doc_id: r.families for r in license.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    wrong = [(text, family, got[k]) for k, (text, family) in enumerate(UNSEEN) if got[k] != (family or "")]
+    assert len(wrong) <= 1, wrong
+    assert not any(got[100 + i] for i in range(200))
