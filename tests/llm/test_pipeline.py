@@ -72,6 +72,36 @@ def test_stages(spark, stages):
     assert all(r.decoded_sha256 == hashlib.sha256((t.text or "").encode()).hexdigest() for t in mixed for r in encoded if r.doc_id == t.doc_id)
 
 
+HARD = [
+    (1, None, None, None, 1, "k"),
+    (2, "", "en", "a", 2, "k"),
+    (None, "the house and a tree", "en", "a", 3, None),
+    (3, "12 345 !!", "de", None, 4, "k"),
+    *((i, " ".join(f"{w}{i // 2}" for w in "the house and a tree was with some water there".split()), "en", ("a", "b")[i % 2], 5, "k") for i in range(10, 40)),
+    (10, "the5 house5 and5 a5 tree5 was5 with5 some5 water5 there5", "en", "a", 5, "k"),
+    (50, "das haus und ein baum " * 20_000, "de", "b", 6, "k"),
+    (51, "das haus und ein baum " * 20_000, "de", "b", 6, "k"),
+]
+
+
+@pytest.mark.parametrize("rows", [HARD, []])
+def test_hard_rows_through_every_stage(spark, tmp_path, rows):
+    """Nulls in every column, empty and very long texts, repeated rows, other columns with names that stages give."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, probability long, kept string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path)), f"hard-{name}")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "probability", "kept"]
+        kept.append([r.doc_id for r in docs.collect()])
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, kept[-1]))
+    if rows:
+        assert not {1, 2, 3} & set(kept[0]) and 50 not in kept[1] and 51 in kept[1]
+        texts = {r[0]: r[1] for r in rows}
+        assert len({texts[i] for i in kept[1]}) == len(kept[1])
+
+
 def test_import_without_the_subpackage(tmp_path):
     """The entry module works where the subpackage and the pipeline are gone."""
     import shutil
