@@ -2,6 +2,11 @@
 
 ``run`` writes every stage as Parquet to the shared folder that ``spark.checkpoint.dir`` names and reads it again, so a
 lost executor costs at most the stage that it worked on.
+
+Defined cases: documents with a null or empty text, or without a letter, go in the first stage; a null id, language or
+source is a value like any other and its document passes; of repeated rows one stays; very long texts are read whole; an
+empty table gives an empty result with the columns of the last stage; further columns of documents, whatever their names
+(but for those that begin with the reserved prefix of the operators, which are refused), pass all stages but the last.
 """
 from __future__ import annotations
 
