@@ -2,13 +2,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_number
-from .graph import components
+from ..plans.scratch import cut
+from .joins import components
 
 UP = {"+X": (1, 0, 0), "-X": (-1, 0, 0), "+Y": (0, 1, 0), "-Y": (0, -1, 0), "+Z": (0, 0, 1), "-Z": (0, 0, -1)}
 
@@ -49,20 +51,22 @@ def edges(faces: DataFrame) -> DataFrame:
 def group_faces(candidates: DataFrame, angle_tolerance: float) -> DataFrame:
     """Add ``group``: the least face id of the faces connected over edges whose normals differ by at most the tolerance.
 
-    On an edge with more than two faces every face is compared with the first one only.
+    On an edge with more than two faces every face is compared with the first one only. Face ids are told apart by mesh.
     """
     sides = edges(candidates).join(candidates.select("mesh", "fid", "nx", "ny", "nz"), ["mesh", "fid"])
     first = F.min(F.struct("fid", "nx", "ny", "nz")).over(W.partitionBy("mesh", "u", "v"))
     pairs = sides.withColumn("f", first).where(F.col("fid") != F.col("f.fid"))
     dot = F.col("nx") * F.col("f.nx") + F.col("ny") * F.col("f.ny") + F.col("nz") * F.col("f.nz")
-    near = pairs.where(dot >= math.cos(math.radians(angle_tolerance))).selectExpr("fid as a", "f.fid as b")
-    roots = components(near).withColumnsRenamed({"node": "fid", "root": "group"})
-    return candidates.join(roots, "fid", "left").withColumn("group", F.coalesce("group", "fid"))
+    near = pairs.where(dot >= math.cos(math.radians(angle_tolerance))).selectExpr("struct(mesh, fid) as a", "struct(mesh, f.fid as fid) as b")
+    roots = components(near).select("node.mesh", "node.fid", F.col("root.fid").alias("group"))
+    return candidates.join(roots, ["mesh", "fid"], "left").withColumn("group", F.coalesce("group", "fid"))
 
 
 def fit_planes(grouped: DataFrame, vertices: DataFrame, up: str) -> DataFrame:
-    """For each group: faces, area, area-weighted centroid and normal (towards up), and the residuals of its vertices."""
+    """For each group: faces, area, area-weighted centroid and normal (towards up), the residuals of its vertices, and
+    tangent_radius, the farthest that a vertex is from the centroid along the plane."""
     weight = F.sum("area")
+    grouped = cut(grouped, "grouped")  # read twice
     per = grouped.groupBy("mesh", "group").agg(
         F.count(F.lit(1)).alias("faces"), weight.alias("area"),
         *[(F.sum(F.col("area") * F.col(f"c{k}")) / weight).alias(f"c{k}") for k in "xyz"], *[F.sum(F.col("area") * F.col(f"n{k}")).alias(f"s{k}") for k in "xyz"],
@@ -73,7 +77,11 @@ def fit_planes(grouped: DataFrame, vertices: DataFrame, up: str) -> DataFrame:
     used = grouped.withColumn("vid", F.explode(F.array("a", "b", "c"))).select("mesh", "group", "vid").distinct()
     off = used.join(vertices, ["mesh", "vid"]).join(per.select("mesh", "group", "cx", "cy", "cz", "nx", "ny", "nz"), ["mesh", "group"])
     d = F.abs(sum(((F.col(k) - F.col(f"c{k}")) * F.col(f"n{k}") for k in "xyz"), F.lit(0.0)))
+    across = [(F.col(k) - F.col(f"c{k}")) - F.col("__along") * F.col(f"n{k}") for k in "xyz"]
+    along = sum(((F.col(k) - F.col(f"c{k}")) * F.col(f"n{k}") for k in "xyz"), F.lit(0.0))
+    off = off.withColumn("__along", along).withColumn("reach", F.sqrt(sum((x * x for x in across), F.lit(0.0))))
     residuals = off.withColumn("d", d).groupBy("mesh", "group").agg(
+        F.max("reach").alias("tangent_radius"),
         F.count(F.lit(1)).alias("vertices"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rms"), F.max("d").alias("worst"), F.percentile("d", F.lit(0.95)).alias("p95"), F.percentile("d", F.lit(0.99)).alias("p99")
     )
     return per.join(residuals, ["mesh", "group"])
@@ -96,22 +104,89 @@ def boundary_vertices(grouped: DataFrame) -> DataFrame:
     return once.withColumn("vid", F.explode(F.array("u", "v"))).select("mesh", "group", "vid").distinct()
 
 
-def coplanar_pairs(planes: DataFrame, angle_tolerance: float, plane_distance: float, gap: float, reach: str = "radius") -> DataFrame:
-    """Pairs of planes whose normals agree, whose centroids are near each other's plane, and that are within reach.
+def coplanar_pairs(planes: DataFrame, angle_tolerance: float, plane_distance: float, gap: float, reach: str = "tangent_radius") -> DataFrame:
+    """Pairs of planes whose normals agree, whose centroids are near one of their planes, and whose distance along the first
+    plane (the lower group) is at most both reaches and the gap.
 
-    Centroids are put into cells as wide as the largest reach, so only neighbouring cells are compared.
+    Planes are put into cells by levels of reach: level k has cells twice as wide as level k - 1, and a plane stands in the
+    level of its own reach. It looks into the neighbouring cells of its level and of all wider ones, which are few and hold
+    few planes, so one large plane does not put all others into one cell. A pair is found by its plane of the lower level (of
+    equal levels the lower group), whose distance from the other in space is bounded by the cell: the offset from the plane is
+    at most ``plane_distance`` for one of the two, and the normals differ by at most the tolerance.
     """
-    side = lambda k: planes.select("mesh", *[F.col(c).alias(f"{k}_{c}") for c in ("group", "cx", "cy", "cz", "nx", "ny", "nz", reach)])
-    width = planes.groupBy("mesh").agg((2 * F.max(reach) + gap).alias("w"))
-    cell = lambda df, k: df.join(F.broadcast(width), "mesh").withColumns({f"g{x}": F.floor(F.col(f"{k}_c{x}") / F.col("w")) for x in "xy"}).drop("w")
-    steps = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    one = cell(side("a"), "a").withColumn("sx", steps).withColumn("sy", steps).withColumns({"gx": F.col("gx") + F.col("sx"), "gy": F.col("gy") + F.col("sy")}).drop("sx", "sy")
-    both = one.join(cell(side("b"), "b"), ["mesh", "gx", "gy"]).where("a_group < b_group")
-    dot = sum((F.col(f"a_n{x}") * F.col(f"b_n{x}") for x in "xyz"), F.lit(0.0))
-    offset = lambda k: F.abs(sum(((F.col(f"b_c{x}") - F.col(f"a_c{x}")) * F.col(f"{k}_n{x}") for x in "xyz"), F.lit(0.0)))
-    apart = F.sqrt(sum(((F.col(f"b_c{x}") - F.col(f"a_c{x}")) ** 2 for x in "xyz"), F.lit(0.0)))
-    ok = (dot >= math.cos(math.radians(angle_tolerance))) & (F.least(offset("a"), offset("b")) <= plane_distance) & (apart <= F.col(f"a_{reach}") + F.col(f"b_{reach}") + gap)
-    return both.where(ok).select("mesh", F.col("a_group").alias("a"), F.col("b_group").alias("b"))
+    planes = cut(planes.select("mesh", "group", *[f"{a}{k}" for a in "cn" for k in "xyz"], F.col(reach).alias("reach")), "planes")  # read twice
+    # A pair is apart by less than the reaches, the gap and the offset; for angles up to 60 degrees the offset from the other
+    # plane adds at most as much again as the tangential part.
+    turn = 1.0 + math.tan(math.radians(min(angle_tolerance, 60.0)))
+    width = lambda reach: (2 * reach + gap + plane_distance) * turn
+    unit = gap + plane_distance + 1e-6
+    level = F.greatest(F.lit(0), F.ceil(F.log2(width(F.col("reach")) / unit)))
+    planes = planes.withColumns({"__level": level.cast("int")})
+    cell = lambda level: [F.floor(F.col(f"c{k}") / (unit * F.pow(F.lit(2.0), level))).alias(f"g{k}") for k in "xyz"]
+    held = planes.select("mesh", F.struct(*planes.columns[1:]).alias("b"), F.col("__level").alias("level"), *cell(F.col("__level")))
+    levels = planes.groupBy("mesh").agg(F.max("__level").alias("__top"))
+    one = planes.join(F.broadcast(levels), "mesh").withColumn("level", F.explode(F.sequence("__level", "__top")))
+    one = one.select("mesh", F.struct(*planes.columns[1:]).alias("a"), "level", *cell(F.col("level")))
+    step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
+    for k in "xyz":
+        one = one.withColumn("__s", step).withColumn(f"g{k}", F.col(f"g{k}") + F.col("__s")).drop("__s")
+    both = one.join(held, ["mesh", "level", "gx", "gy", "gz"]).where("a.__level < b.__level or a.group < b.group")
+    both = both.select("mesh", F.when(F.col("a.group") < F.col("b.group"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a.group") < F.col("b.group"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    delta = {k: F.col(f"b.c{k}") - F.col(f"a.c{k}") for k in "xyz"}
+    dot = sum((F.col(f"a.n{k}") * F.col(f"b.n{k}") for k in "xyz"), F.lit(0.0))
+    off = lambda s: sum((delta[k] * F.col(f"{s}.n{k}") for k in "xyz"), F.lit(0.0))
+    along = F.sqrt(sum(((delta[k] - F.col("a").getField(f"n{k}") * off("a")) ** 2 for k in "xyz"), F.lit(0.0)))
+    ok = (dot >= math.cos(math.radians(angle_tolerance))) & (F.least(F.abs(off("a")), F.abs(off("b"))) <= plane_distance) & (along <= F.col("a.reach") + F.col("b.reach") + gap)
+    return both.where(ok).select("mesh", F.col("a.group").alias("a"), F.col("b.group").alias("b"))
+
+
+def robust_merge(planes: DataFrame, residuals: DataFrame, edge: DataFrame, tolerance: float, percentile: float = 0.95, least_inliers: float = 0.95, worst: float = 0.1, least_edge: float = 0.8) -> DataFrame:
+    """Whether a fitted plane may stand for what was merged into it: mesh, group, inlier_ratio, outliers, edge_outliers,
+    edge_ratio, mode (``strict``: no residual beyond the tolerance; ``robust``: few, small and at the border; else
+    ``rejected``). ``residuals`` are (mesh, group, vid, d), ``edge`` the rows of ``boundary_vertices``."""
+    told = residuals.join(edge.withColumn("__edge", F.lit(True)), ["mesh", "group", "vid"], "left")
+    out = F.col("d") > tolerance
+    per = told.groupBy("mesh", "group").agg(
+        F.avg((~out).cast("double")).alias("inlier_ratio"), F.count_if(out).alias("outliers"), F.count_if(out & F.col("__edge")).alias("edge_outliers"),
+        F.max("d").alias("most"), F.percentile("d", F.lit(percentile)).alias("high"),
+    )
+    per = planes.select("mesh", "group").join(per, ["mesh", "group"]).withColumn("edge_ratio", F.when(F.col("outliers") > 0, F.col("edge_outliers") / F.col("outliers")).otherwise(1.0))
+    fine = (F.col("high") <= tolerance) & (F.col("inlier_ratio") >= least_inliers) & (F.col("most") <= worst) & (F.col("edge_ratio") >= least_edge)
+    return per.withColumn("mode", F.when(F.col("most") <= tolerance, "strict").when(fine, "robust").otherwise("rejected")).drop("most", "high")
+
+
+def vertex_residuals(grouped: DataFrame, planes: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(mesh, group, vid, d): the distance of each vertex of a group from its plane."""
+    used = grouped.select("mesh", "group", F.explode(F.array("a", "b", "c")).alias("vid")).distinct()
+    off = used.join(vertices, ["mesh", "vid"]).join(planes.select("mesh", "group", "cx", "cy", "cz", "nx", "ny", "nz"), ["mesh", "group"])
+    return off.select("mesh", "group", "vid", F.abs(sum(((F.col(k) - F.col(f"c{k}")) * F.col(f"n{k}") for k in "xyz"), F.lit(0.0))).alias("d"))
+
+
+def scene_summary(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """For each mesh: vertices, triangles, and the corners of its box."""
+    box = [f(k).alias(f"{n}_{k}") for n, f in (("least", F.min), ("most", F.max)) for k in "xyz"]
+    return vertices.groupBy("mesh").agg(F.count(F.lit(1)).alias("vertices"), *box).join(faces.groupBy("mesh").agg(F.count(F.lit(1)).alias("triangles")), "mesh", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
+
+
+def used_vertices(faces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many vertices the faces of each group use, each counted once."""
+    return faces.select(*keys, F.explode(F.array("a", "b", "c")).alias("vid")).groupBy(*keys).agg(F.count_distinct("vid").alias("vertices"))
+
+
+def plane_basis(nx: Column, ny: Column, nz: Column) -> tuple[tuple[Column, ...], tuple[Column, ...]]:
+    """Two unit vectors that span the plane of a unit normal: the first is square to the normal and to the axis (x, or y where
+    the normal is within about 26 degrees of x), the second square to both."""
+    helper = (F.when(F.abs(nx) < 0.9, 1.0).otherwise(0.0), F.when(F.abs(nx) < 0.9, 0.0).otherwise(1.0), F.lit(0.0))
+    cross = lambda p, q: (p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0])
+    u = cross((nx, ny, nz), helper)
+    size = F.sqrt(u[0] * u[0] + u[1] * u[1] + u[2] * u[2])
+    u = tuple(x / size for x in u)
+    return u, cross((nx, ny, nz), u)
+
+
+def reduction(before: Column, after: Column) -> Column:
+    """By how many percent a count fell; null without one before."""
+    return F.when(before > 0, 100.0 * (1.0 - after / before))
 
 
 ROTATIONS = {name: (axis, sign) for name, axis, sign in (("x+90", 0, 1), ("x-90", 0, -1), ("y+90", 1, 1), ("y-90", 1, -1), ("z+90", 2, 1), ("z-90", 2, -1))}

@@ -5,13 +5,14 @@ is dealt out by its rows and columns and no pixel is joined with another.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fixed
+from ..functions.scalars import fixed, stretched
 from ..plans.scratch import cut
 
 
@@ -97,6 +98,72 @@ def sobel(px: DataFrame, value: str) -> DataFrame:
     return px.withColumn("magnitude", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).drop("__dx", "__sx")
 
 
+def gaussian_kernel(sigma: float) -> list[float]:
+    """Weights of a sampled Gaussian, four deviations wide on each side together, with an odd number of them."""
+    size = round(sigma * 8 + 1) | 1
+    raw = [math.exp(-((k - size // 2) ** 2) / (2 * sigma * sigma)) for k in range(size)]
+    return [x / sum(raw) for x in raw]
+
+
+def convolve(px: DataFrame, value: str, kernel: Sequence[float], out: str) -> DataFrame:
+    """A separable filter with an odd number of weights, along the rows and then along the columns.
+
+    Borders are mirrored (the border pixel is not repeated). Rows and columns must have no gaps (``nearest_fill`` and
+    ``fill_invalid`` fill them) and be longer than half the kernel; a window holds as many values as the kernel.
+    """
+    half, weights = len(kernel) // 2, F.array(*[F.lit(float(k)) for k in kernel])
+    for line, pos in (("r", "c"), ("c", "r")):
+        whole = W.partitionBy("image", line)
+        near = F.collect_list(F.struct(F.col(pos).alias("at"), F.col(value).alias("v"))).over(whole.orderBy(pos).rangeBetween(-half, half))
+        px = px.withColumns({"__near": near, "__lo": F.min(pos).over(whole), "__hi": F.max(pos).over(whole)})
+        steps = F.sequence(F.lit(-half), F.lit(half))
+        at = lambda k, pos=pos: F.col(pos) + k
+        mirrored = lambda q: F.when(q < F.col("__lo"), 2 * F.col("__lo") - q).when(q > F.col("__hi"), 2 * F.col("__hi") - q).otherwise(q)
+        index = lambda k: (mirrored(at(k)) - F.element_at("__near", 1)["at"] + 1).cast("int")
+        taken = F.transform(steps, lambda k: F.element_at(F.col("__near"), index(k))["v"] * F.element_at(weights, (k + half + 1).cast("int")))
+        px = px.withColumn(out, F.aggregate(taken, F.lit(0.0), lambda s, x: s + x)).drop("__near", "__lo", "__hi")
+        value = out
+    return px
+
+
+def laplacian(px: DataFrame, value: str, out: str) -> DataFrame:
+    """Twice the four corners less eight times the pixel, borders mirrored."""
+    left, right = _shift(value, "r", "c")
+    px = px.withColumn("__sides", left + right)
+    up, down = _shift("__sides", "c", "r")
+    return px.withColumn(out, 2 * (up + down) - 8 * F.col(value)).drop("__sides")
+
+
+def gradient_map(px: DataFrame, value: str, out: str) -> DataFrame:
+    """The Sobel magnitude, stretched between its 2nd and 98th percentile in the image."""
+    return stretched(sobel(px, value), "magnitude", ["image"], out, 0.5).drop("gx", "gy", "magnitude")
+
+
+def elevation_evidence(px: DataFrame, value: str, m: Sequence[float], out: str, sigma: float = 1.15) -> DataFrame:
+    """Add ``smooth``, its world slopes sx and sy, and the evidence of edges: 0.72 of how the slopes change and 0.28 of the
+    curvature, each stretched to [0, 1]. Heights must have no gaps (``fill_invalid``)."""
+    px = gradients(convolve(px, value, gaussian_kernel(sigma), "smooth"), "smooth", m)
+    px = sobel(px.withColumn("__slope", F.col("sx") + F.col("sy")), "__slope").withColumn("__change", F.col("magnitude"))
+    px = laplacian(px, "smooth", "__curve").withColumn("__curve", F.abs("__curve"))
+    for name in ("__change", "__curve"):
+        px = stretched(px, name, ["image"], name + "u", 0.0, finite_only=True)
+    return px.withColumn(out, 0.72 * F.col("__changeu") + 0.28 * F.col("__curveu")).drop("__slope", "gx", "gy", "magnitude", "__change", "__curve", "__changeu", "__curveu")
+
+
+def combined_evidence(visual: Column, metric: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.44 * visual + 0.56 * metric))
+
+
+def shared_support(px: DataFrame, evidence: str, label: str = "label") -> DataFrame:
+    """image, a, b (a < b), contacts, support: the mean evidence of the pixels of b that have a pixel of a among their eight
+    neighbours. Each such pixel counts once; pairs that do not touch have no row (their support is 1 by definition)."""
+    rows = W.partitionBy("image", "r").orderBy("c").rangeBetween(-1, 1)
+    cols = W.partitionBy("image", "c").orderBy("r").rangeBetween(-1, 1)
+    near = px.withColumn("__s", F.collect_set(label).over(rows)).withColumn("__s", F.array_distinct(F.flatten(F.collect_list("__s").over(cols))))
+    met = near.where(F.col(label) > 0).select("image", F.col(label).alias("b"), evidence, F.explode("__s").alias("a")).where("a > 0 and a < b")
+    return met.groupBy("image", "a", "b").agg(F.count(F.lit(1)).alias("contacts"), F.avg(evidence).alias("support"))
+
+
 def gradients(px: DataFrame, value: str, m: Sequence[float]) -> DataFrame:
     """Add world slopes sx and sy: central differences (one-sided at the ends), through the inverse of the affine map."""
     a, b, _, d, e, _ = m
@@ -198,29 +265,80 @@ def dense_relabel(px: DataFrame, label: str = "label") -> DataFrame:
     return px.join(ranks, ["image", label], "left").withColumn(label, F.coalesce("__new", F.lit(0))).drop("__new")
 
 
-def nearest_fill(px: DataFrame, radius: int) -> DataFrame:
-    """Label 0 takes the label of the nearest labelled pixel, however far; ties: first row, then column.
+def nearest_hit(holes: DataFrame, seen: DataFrame, radius: int) -> DataFrame:
+    """(image, r, c, __f, __d) for ``holes`` (image, r, c): ``found`` of the nearest of ``seen`` (image, r2, c2, found), however
+    far, and the square of its distance; ties: first row, then column. An image without ``seen`` has no rows.
 
-    Holes with a labelled pixel within the distance ``radius`` are filled by a join by equal coordinates with the pixels of
-    their window; ``radius`` sets the cost and not the result, as the others go to ``_fill_far``. Only an image without
-    any label keeps its zeros.
+    What is within ``radius`` is found by a join by equal coordinates with the pixels of the window; the radius sets the
+    cost and not the result, as the others go to ``_fill_far``.
     """
-    holes = px.where("label = 0").select("image", "r", "c")
     steps = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
     near = holes.withColumn("dr", steps).withColumn("dc", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
     near = near.where(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc") <= radius * radius)
-    seen = px.where("label > 0").select("image", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("label").alias("found"))
     hit = near.withColumns({"r2": F.col("r") + F.col("dr"), "c2": F.col("c") + F.col("dc")}).join(seen, ["image", "r2", "c2"])
-    best = hit.groupBy("image", "r", "c").agg(F.min(F.struct((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d"), "r2", "c2", "found")).alias("m"))
-    best = cut(best.select("image", "r", "c", F.col("m.found").alias("__f")), "near")
+    far = (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).cast("long")
+    best = hit.groupBy("image", "r", "c").agg(F.min(F.struct(far.alias("d"), "r2", "c2", "found")).alias("m"))
+    best = cut(best.select("image", "r", "c", F.col("m.found").alias("__f"), F.col("m.d").alias("__d")), "near")
     left = cut(holes.join(best, ["image", "r", "c"], "left_anti"), "far")
-    if not left.isEmpty():
-        best = best.unionByName(_fill_far(left, seen))
+    return best if left.isEmpty() else best.unionByName(_fill_far(left, seen))
+
+
+def nearest_fill(px: DataFrame, radius: int) -> DataFrame:
+    """Label 0 takes the label of the nearest labelled pixel, however far (``nearest_hit``). Only an image without any label
+    keeps its zeros."""
+    seen = px.where("label > 0").select("image", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("label").alias("found"))
+    best = nearest_hit(px.where("label = 0").select("image", "r", "c"), seen, radius).drop("__d")
     return px.join(best, ["image", "r", "c"], "left").withColumn("label", F.coalesce("__f", "label")).drop("__f")
 
 
+def fill_invalid(px: DataFrame, value: str, valid: str, radius: int = 3) -> DataFrame:
+    """Values that are not valid become that of the nearest valid pixel; an image without one is an error."""
+    seen = px.where(F.col(valid)).select("image", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col(value).alias("found"))
+    bad = ~F.coalesce(F.col(valid), F.lit(False))
+    best = nearest_hit(px.where(bad).select("image", "r", "c"), seen, radius).withColumn("__hit", F.lit(True)).drop("__d")
+    none = F.raise_error(F.lit("an image has no valid pixel")).cast(dict(px.dtypes)[value])
+    return px.join(best, ["image", "r", "c"], "left").withColumn(value, F.when(~bad, F.col(value)).when(F.col("__hit"), F.col("__f")).otherwise(none)).drop("__f", "__hit")
+
+
+def absorb_tiny(px: DataFrame, percentage: float, radius: int = 3) -> DataFrame:
+    """Regions below a percentage of the labelled pixels (16 at least) take the label of the nearest larger region, pixel by
+    pixel; labels 1..k afterwards. Where no region is large enough, all stay."""
+    sizes = px.where("label > 0").groupBy("image", "label").agg(F.count(F.lit(1)).alias("__n"))
+    all_of = W.partitionBy("image")
+    least = F.greatest(F.lit(16), F.floor(F.sum("__n").over(all_of) * percentage / 100.0))
+    tiny = sizes.withColumn("__tiny", F.col("__n") < least).withColumn("__tiny", F.col("__tiny") & ~F.min("__tiny").over(all_of)).select("image", "label", "__tiny")
+    told = px.join(tiny, ["image", "label"], "left").withColumn("__tiny", F.coalesce("__tiny", F.lit(False)))
+    seen = told.where("label > 0 and not __tiny").select("image", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("label").alias("found"))
+    best = nearest_hit(told.where("__tiny").select("image", "r", "c"), seen, radius).drop("__d")
+    out = told.join(best, ["image", "r", "c"], "left").withColumn("label", F.coalesce("__f", "label")).drop("__f", "__tiny")
+    return dense_relabel(out)
+
+
+def boundary_distance(px: DataFrame, flag: str, out: str, radius: int = 3) -> DataFrame:
+    """The exact distance of each pixel to the nearest flagged one of its image; infinite in an image without any."""
+    seen = px.where(F.col(flag)).select("image", F.col("r").alias("r2"), F.col("c").alias("c2"), F.lit(1).alias("found"))
+    best = nearest_hit(px.where(~F.coalesce(F.col(flag), F.lit(False))).select("image", "r", "c"), seen, radius).drop("__f")
+    far = F.when(F.col(flag), 0.0).otherwise(F.coalesce(F.sqrt("__d"), F.lit(float("inf"))))
+    return px.join(best, ["image", "r", "c"], "left").withColumn(out, far).drop("__d")
+
+
+def displacement(px: DataFrame, boundary: str, baseline: str, radius: int = 3) -> DataFrame:
+    """image, pixels, distance: the mean distance of one boundary's pixels to another boundary; 0 without pixels."""
+    far = boundary_distance(px, baseline, "__far", radius)
+    return far.groupBy("image").agg(F.count_if(boundary).alias("pixels"), F.coalesce(F.avg(F.when(F.col(boundary), F.col("__far"))), F.lit(0.0)).alias("distance"))
+
+
+def supported_boundary(px: DataFrame, boundary: str, other: str, evidence: str, most: float, out: str, radius: int = 3) -> DataFrame:
+    """Flag the boundary's pixels that are within ``most`` of another boundary, or whose evidence reaches the 62nd percentile
+    of the evidence on the boundary (1 without such pixels)."""
+    limits = px.where(F.col(boundary)).groupBy("image").agg(F.percentile(evidence, F.lit(0.62)).alias("__limit"))
+    far = boundary_distance(px, other, "__far", radius).join(limits, "image", "left")
+    ok = F.col(boundary) & ((F.col("__far") <= most) | (F.col(evidence) >= F.coalesce("__limit", F.lit(1.0))))
+    return far.withColumn(out, F.coalesce(ok, F.lit(False))).drop("__far", "__limit")
+
+
 def _fill_far(holes: DataFrame, seen: DataFrame) -> DataFrame:
-    """(image, r, c, __f) by an exact distance transform: the nearest labelled pixel of each column, for the rows that
+    """(image, r, c, __f, __d) by an exact distance transform: the nearest labelled pixel of each column, for the rows that
     have holes, and then for each hole the nearest of its row's columns."""
     columns = seen.select("image", F.col("c2").alias("c")).distinct()
     asked = holes.select("image", "r").distinct().join(columns, "image").withColumn("hit", F.lit(None).cast(f"struct<r2:{dict(seen.dtypes)['r2']},found:{dict(seen.dtypes)['found']}>"))
@@ -234,7 +352,7 @@ def _fill_far(holes: DataFrame, seen: DataFrame) -> DataFrame:
     lines = both.withColumn("hit", hit).groupBy("image", "r").agg(F.collect_list(F.struct("c", "hit.r2", "hit.found")).alias("line"))
     wide = lambda x: x.cast("long") * x.cast("long")
     near = F.transform("line", lambda x: F.struct((wide(x["c"] - F.col("c")) + wide(x["r2"] - F.col("r"))).alias("d"), x["r2"].alias("r2"), x["c"].alias("c2"), x["found"].alias("found")))
-    return holes.join(lines, ["image", "r"]).select("image", "r", "c", F.array_min(near)["found"].alias("__f"))
+    return holes.join(lines, ["image", "r"]).select("image", "r", "c", F.array_min(near).alias("m")).select("image", "r", "c", F.col("m.found").alias("__f"), F.col("m.d").alias("__d"))
 
 
 def nearest_valid(px: DataFrame, points: DataFrame) -> DataFrame:

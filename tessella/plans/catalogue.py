@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import documents as D
-from ..operators import fits, graph, mesh, raster, vector
+from ..operators import fits, graph, mesh, raster, scores, vector
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,10 +102,14 @@ def boundary_support(spark, sf):
     return raster.boundary_support(pixels(spark, sf), "evidence").withColumn("support", F.round("support", 6))
 
 
-@query("mean_shared_boundary", """SELECT image, a, b, count(*) AS contacts, round(avg(greatest(evidence, e2)), 6) AS support FROM diff GROUP BY image, a, b""")
+# Pixels and their eight neighbours, as offsets.
+AROUND = "near8(dr, dc) AS (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))"
+
+
+@query("mean_shared_boundary", f""", {AROUND}, met AS (SELECT DISTINCT q.image, p.label AS a, q.label AS b, q.r, q.c, q.evidence FROM px q CROSS JOIN near8 JOIN px p ON p.r = q.r + dr AND p.c = q.c + dc WHERE p.label < q.label)
+  SELECT image, a, b, count(*) AS contacts, round(avg(evidence), 6) AS support FROM met GROUP BY image, a, b""")
 def mean_shared_boundary(spark, sf):
-    d = raster.differing(pixels(spark, sf), values=["evidence"])
-    return d.groupBy("image", "a", "b").agg(F.count(F.lit(1)).alias("contacts"), F.round(F.avg(F.greatest("one.evidence", "two.evidence")), 6).alias("support"))
+    return raster.shared_support(pixels(spark, sf), "evidence").withColumn("support", F.round("support", 6))
 
 
 # Fields.
@@ -161,6 +165,105 @@ def dilated_boundary(spark, sf):
     return raster.dilate(pixels(spark, sf), "line", 2, "near").groupBy("image", "label").agg(F.count_if("near").alias("near_line"))
 
 
+KERNEL = ", ".join(f"({k - 5}, {w!r}::DOUBLE)" for k, w in enumerate(raster.gaussian_kernel(1.15)))
+BLUR = f""", ends AS (SELECT max(r) AS rmax, max(c) AS cmax FROM px), kernel(k, w) AS (VALUES {KERNEL}),
+  wide AS (SELECT p.r, p.c, sum(w * n.v) AS h FROM px p CROSS JOIN kernel CROSS JOIN ends JOIN px n ON n.r = p.r AND n.c = CASE WHEN p.c + k < 0 THEN -(p.c + k) WHEN p.c + k > cmax THEN 2 * cmax - p.c - k ELSE p.c + k END GROUP BY p.r, p.c),
+  blur AS (SELECT p.r, p.c, sum(w * n.h) AS s FROM wide p CROSS JOIN kernel CROSS JOIN ends JOIN wide n ON n.c = p.c AND n.r = CASE WHEN p.r + k < 0 THEN -(p.r + k) WHEN p.r + k > rmax THEN 2 * rmax - p.r - k ELSE p.r + k END GROUP BY p.r, p.c)"""
+
+
+@query("gaussian_blur", f"{BLUR} SELECT 'e' AS image, r, c, round(s, 6) + 0.0 AS smooth FROM blur")
+def gaussian_blur(spark, sf):
+    out = raster.convolve(pixels(spark, sf), "v", raster.gaussian_kernel(1.15), "smooth")
+    return out.select("image", "r", "c", S.fixed(F.col("smooth")).alias("smooth"))
+
+
+def _mirrored(table: str, value: str, out: str, combine: str) -> str:
+    """A 3x3 stencil over mirrored borders: ``combine`` may use nw, n, ne, w, m, e, sw, s_, se."""
+    names = iter(("nw", "n", "ne", "w", "m", "e", "sw", "s_", "se"))
+    picks = ", ".join(f"max(CASE WHEN dr = {dr} AND dc = {dc} THEN q.{value} END) AS {next(names)}" for dr in (-1, 0, 1) for dc in (-1, 0, 1))
+    return f"""st_{out} AS (SELECT p.r, p.c, {picks} FROM {table} p CROSS JOIN (SELECT i - 1 AS dr, j - 1 AS dc FROM range(3) x(i), range(3) y(j)) CROSS JOIN ends
+    JOIN {table} q ON q.r = CASE WHEN p.r + dr < 0 THEN 1 WHEN p.r + dr > rmax THEN rmax - 1 ELSE p.r + dr END AND q.c = CASE WHEN p.c + dc < 0 THEN 1 WHEN p.c + dc > cmax THEN cmax - 1 ELSE p.c + dc END GROUP BY p.r, p.c),
+  {out} AS (SELECT r, c, {combine} AS {out} FROM st_{out})"""
+
+
+@query("laplacian", f""", ends AS (SELECT max(r) AS rmax, max(c) AS cmax FROM px), {_mirrored("px", "v", "lap", "2 * (nw + ne + sw + se) - 8 * m")} SELECT 'e' AS image, r, c, round(lap, 6) + 0.0 AS lap FROM lap""")
+def laplacian(spark, sf):
+    return raster.laplacian(pixels(spark, sf), "v", "lap").select("image", "r", "c", S.fixed(F.col("lap")).alias("lap"))
+
+
+@query("gradient_map", f"{SOBEL}, b AS (SELECT quantile_cont(magnitude, 0.02) AS lo, quantile_cont(magnitude, 0.98) AS hi FROM sobel) SELECT image, r, c, round(CASE WHEN hi - lo < 1e-6 THEN 0.5 ELSE least(greatest((magnitude - lo) / (hi - lo), 0), 1) END, 6) + 0.0 AS strength FROM sobel, b")
+def gradient_map(spark, sf):
+    return raster.gradient_map(pixels(spark, sf), "v", "strength").select("image", "r", "c", S.fixed(F.col("strength")).alias("strength"))
+
+
+@query("elevation_evidence", f"""{BLUR}, slopes AS (SELECT r, c, (dc * -0.5) / -0.25 + (dr * 0.5 - dc * 0.1) / -0.25 AS slope FROM (
+    SELECT p.r, p.c, CASE WHEN p.c = 0 THEN e.s - p.s WHEN p.c = cmax THEN p.s - w.s ELSE (e.s - w.s) / 2 END AS dc, CASE WHEN p.r = 0 THEN d.s - p.s WHEN p.r = rmax THEN p.s - u.s ELSE (d.s - u.s) / 2 END AS dr
+    FROM blur p CROSS JOIN ends LEFT JOIN blur e ON e.r = p.r AND e.c = p.c + 1 LEFT JOIN blur w ON w.r = p.r AND w.c = p.c - 1 LEFT JOIN blur u ON u.c = p.c AND u.r = p.r - 1 LEFT JOIN blur d ON d.c = p.c AND d.r = p.r + 1)),
+  {_mirrored("slopes", "slope", "change", "sqrt((ne + 2 * e + se - nw - 2 * w - sw) ** 2 + (sw + 2 * s_ + se - nw - 2 * n - ne) ** 2)")},
+  {_mirrored("blur", "s", "curve", "abs(2 * (nw + ne + sw + se) - 8 * m)")},
+  fields AS (SELECT r, c, change, curve FROM change JOIN curve USING (r, c)),
+  q AS (SELECT quantile_cont(change, 0.02) AS l1, quantile_cont(change, 0.98) AS h1, quantile_cont(curve, 0.02) AS l2, quantile_cont(curve, 0.98) AS h2 FROM fields)
+  SELECT 'e' AS image, r, c, round(0.72 * least(greatest((change - l1) / (h1 - l1), 0), 1) + 0.28 * least(greatest((curve - l2) / (h2 - l2), 0), 1), 5) + 0.0 AS edge FROM fields, q""")
+def elevation_evidence(spark, sf):
+    return raster.elevation_evidence(pixels(spark, sf), "v", AFFINE, "edge").select("image", "r", "c", S.fixed(F.col("edge"), 5).alias("edge"))
+
+
+@query("combined_evidence", "SELECT image, label, round(avg(least(greatest(0.44 * evidence + 0.56 * v, 0), 1)), 6) AS combined FROM px GROUP BY image, label")
+def combined_evidence(spark, sf):
+    return pixels(spark, sf).groupBy("image", "label").agg(F.round(F.avg(raster.combined_evidence(F.col("evidence"), F.col("v"))), 6).alias("combined"))
+
+
+@query("minimum_region", "WITH n AS (SELECT o_custkey, sum(o_totalprice) AS a FROM orders GROUP BY 1) SELECT o_custkey, CAST(greatest(20, round_even(a * 0.05 / 100.0, 0)) AS BIGINT) AS least FROM n")
+def minimum_region(spark, sf):
+    n = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("a"))
+    return n.select("o_custkey", scores.least_region(F.col("a"), 0.05).alias("least"))
+
+
+def _within(holes: str, seen: str, found: str) -> str:
+    """The nearest pixel within five rows and columns: enough for these tables, whose pixels are noise."""
+    return f"""off AS (SELECT i - 5 AS dr, j - 5 AS dc FROM range(11) a(i), range(11) b(j)),
+  hit AS (SELECT h.r, h.c, f.{found} AS found, sqrt(off.dr * off.dr + off.dc * off.dc) AS far FROM {holes} h CROSS JOIN off JOIN {seen} f ON f.r = h.r + off.dr AND f.c = h.c + off.dc
+    QUALIFY row_number() OVER (PARTITION BY h.r, h.c ORDER BY off.dr * off.dr + off.dc * off.dc, f.r, f.c) = 1)"""
+
+
+@query("fill_invalid", f""", good AS (SELECT * FROM px WHERE evidence >= 0.04), bad AS (SELECT * FROM px WHERE evidence < 0.04), {_within("bad", "good", "v")}
+  SELECT px.image, px.r, px.c, round(coalesce(found, v), 6) + 0.0 AS v FROM px LEFT JOIN hit USING (r, c)""")
+def fill_invalid(spark, sf):
+    px = pixels(spark, sf).withColumn("ok", F.col("evidence") >= 0.04)
+    return raster.fill_invalid(px, "v", "ok").select("image", "r", "c", S.fixed(F.col("v")).alias("v"))
+
+
+@query("absorb_tiny", f""", fine AS (SELECT image, r, c, CASE WHEN v > 0.3 THEN 100 + r % 3 WHEN v < 0 THEN 1 ELSE 2 END AS l FROM px), n AS (SELECT l, count(*) AS n FROM fine GROUP BY l),
+  kept AS (SELECT l, n >= greatest(16, floor(sum(n) OVER () * 20.0 / 100)) AS large FROM n), big AS (SELECT fine.* FROM fine JOIN kept USING (l) WHERE large), small AS (SELECT fine.* FROM fine JOIN kept USING (l) WHERE NOT large), {_within("small", "big", "l")},
+  put AS (SELECT fine.image, coalesce(found, l) AS l FROM fine LEFT JOIN hit USING (r, c)) SELECT image, label, count(*) AS n FROM (SELECT image, dense_rank() OVER (ORDER BY l) AS label FROM put) GROUP BY image, label""")
+def absorb_tiny(spark, sf):
+    px = pixels(spark, sf).withColumn("label", F.when(F.col("v") > 0.3, 100 + F.col("r") % 3).when(F.col("v") < 0, 1).otherwise(2))
+    return raster.absorb_tiny(px.select("image", "r", "c", "label"), 20.0).groupBy("image", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+LINES = """, border AS (SELECT r, c FROM diff UNION SELECT r2, c2 FROM diff), sdiff AS (SELECT * FROM pairs WHERE stripe <> stripe2), sborder AS (SELECT r, c FROM sdiff UNION SELECT r2, c2 FROM sdiff)"""
+
+
+def _borders(spark, sf):
+    px = pixels(spark, sf)
+    for name, label in (("one", "stripe"), ("two", "label")):
+        on = raster.internal_boundary(px.withColumn("label", F.col(label))).withColumn(name, F.lit(True))
+        px = px.join(on, ["image", "r", "c"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return px
+
+
+@query("boundary_displacement", f"{LINES}, lit AS (SELECT r, c, 1 AS one FROM border), {_within('sborder', 'lit', 'one')} SELECT 'e' AS image, count(*) AS pixels, round(avg(far), 6) AS distance FROM hit")
+def boundary_displacement(spark, sf):
+    return raster.displacement(_borders(spark, sf), "one", "two").withColumn("distance", F.round("distance", 6))
+
+
+@query("supported_boundary", f"""{LINES}, lit AS (SELECT r, c, 1 AS one FROM sborder), own AS (SELECT px.* FROM px JOIN border USING (r, c)), lim AS (SELECT quantile_cont(evidence, 0.62) AS t FROM own), {_within('own', 'lit', 'one')}
+  SELECT own.image, count(*) AS pixels, count(*) FILTER (WHERE coalesce(far, 99) <= 2.0 OR evidence >= t) AS supported FROM own CROSS JOIN lim LEFT JOIN hit USING (r, c) GROUP BY own.image""")
+def supported_boundary(spark, sf):
+    out = raster.supported_boundary(_borders(spark, sf), "two", "one", "evidence", 2.0, "ok")
+    return out.groupBy("image").agg(F.count_if("two").alias("pixels"), F.count_if("ok").alias("supported"))
+
+
 # Overlays.
 @query("overlay_partition", "SELECT image, label, stripe, count(*) AS pixels FROM px GROUP BY image, label, stripe")
 def overlay_partition(spark, sf):
@@ -288,30 +391,55 @@ def _variants(spark, sf):
     return px.select("image", "r", "c", "v", "evidence", F.explode(F.array(*[F.struct(F.lit(n).alias("candidate"), F.lit(i).alias("position"), F.col(n).alias("label")) for i, n in enumerate(VARIANTS)])).alias("k")).select("image", "r", "c", "v", "evidence", "k.candidate", "k.position", "k.label")
 
 
+def _candidate_fits(px):
+    fit = fits.ols(px.where("label > 0"), ["image", "candidate", "label"], "c", "r", "v")
+    return fits.median_residuals(px, fit, ["image", "candidate", "label"], "c", "r", "v")
+
+
 def _scores(spark, sf):
-    """.28 exp(-rmse/.45) + .25 exp(-spread/.25) + .12 coverage + .05 simplicity - .15 share of small regions."""
     px = _variants(spark, sf)
-    per = px.where("label > 0").groupBy("image", "candidate", "position", "label").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("v").alias("rmse"), F.avg("evidence").alias("spread"))
-    total = F.sum("n")
-    return per.groupBy("image", "candidate", "position").agg(
-        F.count(F.lit(1)).alias("planes"), total.alias("pixels"), (F.sum(F.col("n") * F.col("rmse")) / total).alias("rmse"), (F.sum(F.col("n") * F.col("spread")) / total).alias("spread"), (F.sum(F.when(F.col("n") < 2000, F.col("n")).otherwise(0)) / total).alias("small")
-    ).withColumn("score", 0.28 * F.exp(-F.col("rmse") / 0.45) + 0.25 * F.exp(-F.col("spread") / 0.25) + 0.12 + 0.05 / F.col("planes") - 0.15 * F.col("small"))
+    made = scores.candidate_metrics(px, _candidate_fits(px), "evidence", scores.least_region(F.col("roof"), 0.9))
+    return made.join(px.select("image", "candidate", "position").distinct(), ["image", "candidate"])
 
 
-SCORES = """, k AS (SELECT image, 'label' AS candidate, 0 AS position, label, v, evidence FROM px UNION ALL SELECT image, 'stripe', 1, stripe, v, evidence FROM px UNION ALL SELECT image, 'mixed', 2, label * 10 + stripe, v, evidence FROM px),
-  per AS (SELECT image, candidate, position, label, count(*) AS n, stddev_pop(v) AS rmse, avg(evidence) AS spread FROM k GROUP BY ALL),
-  m AS (SELECT image, candidate, position, count(*) AS planes, sum(n) AS pixels, sum(n * rmse) / sum(n) AS rmse, sum(n * spread) / sum(n) AS spread, sum(CASE WHEN n < 2000 THEN n ELSE 0 END) / sum(n) AS small FROM per GROUP BY ALL),
-  scored AS (SELECT *, 0.28 * exp(-rmse / 0.45) + 0.25 * exp(-spread / 0.25) + 0.12 + 0.05 / planes - 0.15 * small AS score FROM m)"""
+SCORES = """, k AS (SELECT image, 'label' AS candidate, 0 AS position, label, r, c, v, evidence FROM px UNION ALL SELECT image, 'stripe', 1, stripe, r, c, v, evidence FROM px UNION ALL SELECT image, 'mixed', 2, label * 10 + stripe, r, c, v, evidence FROM px),
+  per AS (SELECT image, candidate, position, label, count(*) AS n, regr_count(v, c) AS samples, avg(c) AS mx, avg(r) AS my, avg(v) AS mz, var_pop(c) AS vx, var_pop(r) AS vy, covar_pop(c, r) AS cxy, covar_pop(c, v) AS cxz, covar_pop(r, v) AS cyz FROM k GROUP BY image, candidate, position, label),
+  solved AS (SELECT *, CASE WHEN vx * vy - cxy * cxy > 1e-12 THEN (cxz * vy - cyz * cxy) / (vx * vy - cxy * cxy) END AS sx, CASE WHEN vx * vy - cxy * cxy > 1e-12 THEN (cyz * vx - cxz * cxy) / (vx * vy - cxy * cxy) END AS sy FROM per),
+  err AS (SELECT s.candidate, s.label, sqrt(avg((v - mz - sx * (c - mx) - sy * (r - my)) ** 2)) AS rmse, median(abs(v - mz - sx * (c - mx) - sy * (r - my))) AS med FROM k JOIN solved s ON s.candidate = k.candidate AND s.label = k.label GROUP BY s.candidate, s.label),
+  edge AS (SELECT p.candidate, p.r, p.c, q.r AS r2, q.c AS c2 FROM k p JOIN k q ON p.candidate = q.candidate AND ((q.r = p.r AND q.c = p.c + 1) OR (q.c = p.c AND q.r = p.r + 1)) AND p.label <> q.label),
+  lit AS (SELECT candidate, r, c FROM edge UNION SELECT candidate, r2, c2 FROM edge),
+  sup AS (SELECT lit.candidate, avg(evidence) AS support FROM lit JOIN px USING (r, c) GROUP BY lit.candidate),
+  roof AS (SELECT candidate, sum(n) AS roof, greatest(20, round_even(sum(n) * 0.9 / 100.0, 0)) AS least FROM per GROUP BY candidate),
+  m AS (SELECT s.image, s.candidate, s.position, count(*) AS planes, sum(n) / any_value(roof) AS coverage, sum(n) FILTER (WHERE rmse IS NOT NULL) / any_value(roof) AS fitted_coverage, coalesce(sum(n) FILTER (WHERE n < least), 0) / any_value(roof) AS small,
+    sum(samples * rmse) / sum(samples) AS rmse, sum(samples * med) / sum(samples) AS median_abs FROM solved s JOIN err ON err.candidate = s.candidate AND err.label = s.label JOIN roof ON roof.candidate = s.candidate GROUP BY s.image, s.candidate, s.position),
+  scored AS (SELECT m.*, coalesce(support, 0) AS support, 0.28 * exp(-rmse / 0.45) + 0.25 * exp(-median_abs / 0.25) + 0.20 * coalesce(support, 0) + 0.12 * coverage + 0.10 * fitted_coverage
+    + 0.05 * least(greatest(1 - greatest(planes - 30, 0) / 45.0, 0), 1) - 0.15 * small AS score FROM m LEFT JOIN sup USING (candidate))"""
 
 
-@query("candidate_score", f"{SCORES} SELECT image, candidate, planes, CAST(pixels AS BIGINT) AS pixels, round(rmse, 6) AS rmse, round(small, 6) AS small, round(score, 6) AS score FROM scored")
+@query("candidate_score", f"{SCORES} SELECT image, candidate, planes, round(coverage, 6) AS coverage, round(fitted_coverage, 6) AS fitted_coverage, round(support, 6) AS support, round(small, 6) AS small, round(rmse, 6) AS rmse, round(median_abs, 6) AS median_abs, round(score, 6) AS score FROM scored")
 def candidate_score(spark, sf):
-    return _scores(spark, sf).select("image", "candidate", "planes", "pixels", *[F.round(k, 6).alias(k) for k in ("rmse", "small", "score")])
+    return _scores(spark, sf).select("image", "candidate", "planes", *[F.round(k, 6).alias(k) for k in ("coverage", "fitted_coverage", "support", "small", "rmse", "median_abs", "score")])
 
 
-@query("composite_score", f"{SCORES} SELECT image, candidate, round(score + 0.04 * spread + 0.03 / planes + 0.03 * (1 - small), 6) AS composite FROM scored")
+@query("composite_score", f"{SCORES} SELECT image, candidate, round(score + 0.04 * support + 0.03 * least(greatest((64 - planes) / greatest(64 - 2 * 4, 1), 0), 1) + 0.03 * least(greatest(1 - 20 * small / 16, 0), 1), 6) AS composite FROM scored")
 def composite_score(spark, sf):
-    return _scores(spark, sf).select("image", "candidate", F.round(F.col("score") + 0.04 * F.col("spread") + 0.03 / F.col("planes") + 0.03 * (1 - F.col("small")), 6).alias("composite"))
+    # A candidate's planes stand for the vertices left of 64 in four paths, its small share for a drift of up to 20 pixels.
+    simplicity, drift = scores.path_scores(F.col("planes"), F.lit(64), F.lit(4), 20 * F.col("small"))
+    return _scores(spark, sf).select("image", "candidate", F.round(scores.composite(F.col("score"), F.col("support"), simplicity, drift), 6).alias("composite"))
+
+
+@query("hypothesis_score", """WITH h AS (SELECT l_orderkey, count(*) AS planes, count(*) FILTER (WHERE l_returnflag = 'R') AS missing, count(*) FILTER (WHERE l_linestatus = 'O') AS unexpected, avg(l_discount) * 10 AS support, least(avg(l_tax) * 12, 1) AS coverage,
+    avg(l_discount * 10 * greatest(0, 1 - 5 * l_tax)) AS planar, count(DISTINCT l_returnflag) AS modes FROM lineitem GROUP BY l_orderkey)
+  SELECT l_orderkey, round(0.22 * coverage + 0.22 * (1 - missing / greatest(planes, 1)) + 0.24 * support + 0.32 * planar - 0.025 * unexpected - 0.05 * (planes - modes) - 0.04 * greatest(0, planes - 22) / 22, 6) + 0.0 AS score FROM h""")
+def hypothesis_score(spark, sf):
+    li = table(spark, sf, "lineitem")
+    h = li.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("planes"), F.count_if(F.col("l_returnflag") == "R").alias("missing"), F.count_if(F.col("l_linestatus") == "O").alias("unexpected"), (F.avg("l_discount") * 10).alias("support"),
+        F.least(F.avg("l_tax") * 12, F.lit(1.0)).alias("coverage"), F.avg(scores.planarity(F.col("l_discount") * 10, F.col("l_tax"))).alias("planar"), F.count_distinct("l_returnflag").alias("modes"),
+    )
+    c = F.col
+    made = scores.hypothesis_score(c("coverage"), c("planes"), c("missing"), c("unexpected"), c("support"), c("planar"), c("planes") - c("modes"), c("planes"))
+    return h.select("l_orderkey", S.fixed(made).alias("score"))
 
 
 @query("select_winner", f"{SCORES} SELECT image, candidate, planes FROM scored QUALIFY row_number() OVER (PARTITION BY image ORDER BY round(score, 9) DESC, position) = 1")
@@ -319,24 +447,44 @@ def select_winner(spark, sf):
     return D.winner(_scores(spark, sf).withColumn("score", F.round("score", 9)), ["image"], "score", "position").select("image", "candidate", "planes")
 
 
-@query("enrichment_gate", """, s AS (SELECT image, label, stripe, count(*) AS n, stddev_pop(v) AS rmse FROM px GROUP BY ALL), w AS (SELECT label, stddev_pop(v) AS whole FROM px GROUP BY label),
-  g AS (SELECT image, label, count(*) AS parts, sum(n * rmse) / sum(n) AS split, any_value(whole) AS whole FROM s JOIN w USING (label) GROUP BY image, label)
-  SELECT image, label, parts, round(whole - split, 6) + 0.0 AS gain, parts BETWEEN 2 AND 6 AND (whole - split >= 0.018 OR (whole - split) / whole >= 0.0005) AS accepted FROM g""")
-def enrichment_gate(spark, sf):
-    px = pixels(spark, sf)
-    parts = px.groupBy("image", "label", "stripe").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("v").alias("rmse"))
-    split = parts.groupBy("image", "label").agg(F.count(F.lit(1)).alias("parts"), (F.sum(F.col("n") * F.col("rmse")) / F.sum("n")).alias("split"))
-    whole = px.groupBy("image", "label").agg(F.stddev_pop("v").alias("whole"))
-    gain = F.col("whole") - F.col("split")
-    return split.join(whole, ["image", "label"]).select("image", "label", "parts", S.fixed(gain).alias("gain"), (F.col("parts").between(2, 6) & ((gain >= 0.018) | (gain / F.col("whole") >= 0.0005))).alias("accepted"))
+def _gain_sql(keys: str, name: str) -> str:
+    return f"""{name} AS (SELECT {keys}, n, CASE WHEN vx * vy - cxy * cxy > 1e-12 THEN sqrt(greatest(vz - ((cxz * vy - cyz * cxy) * cxz + (cyz * vx - cxz * cxy) * cyz) / (vx * vy - cxy * cxy), 0)) END AS rmse
+    FROM (SELECT {keys}, count(*) AS n, var_pop(c) AS vx, var_pop(r) AS vy, var_pop(v) AS vz, covar_pop(c, r) AS cxy, covar_pop(c, v) AS cxz, covar_pop(r, v) AS cyz FROM px GROUP BY {keys}))"""
 
 
-@query("acceptance_gate", """, s AS (SELECT image, stripe, count(*) AS n, stddev_pop(v) AS residual, count(DISTINCT label) AS labels FROM px GROUP BY image, stripe)
-  SELECT image, stripe, residual <= 0.18 AND labels = 4 AND n >= 1000 AS accepted, concat_ws(',', CASE WHEN residual > 0.18 THEN 'residual' END, CASE WHEN labels <> 4 THEN 'labels' END, CASE WHEN n < 1000 THEN 'size' END) AS failed FROM s""")
+@query("enrichment_gate", f""", {_gain_sql("label", "whole")}, {_gain_sql("label, stripe", "part")},
+  inner_edge AS (SELECT label, r, c FROM pairs WHERE label = l2 AND stripe <> stripe2 UNION SELECT label, r2, c2 FROM pairs WHERE label = l2 AND stripe <> stripe2),
+  sup AS (SELECT e.label, avg(evidence) AS support FROM inner_edge e JOIN px USING (r, c) GROUP BY e.label),
+  g AS (SELECT label, count(*) AS parts, count(rmse) AS fitted, sum(n * rmse) / sum(n) FILTER (WHERE rmse IS NOT NULL) AS split FROM part GROUP BY label)
+  SELECT 'e' AS image, g.label, parts, round(whole.rmse - split, 6) + 0.0 AS improvement, parts BETWEEN 2 AND 6 AND fitted = parts AND coalesce(support, 0) >= 0.05 AND (whole.rmse - split >= 0.018 OR (whole.rmse - split) / greatest(whole.rmse, 1e-8) >= 0.07) AS accepted
+  FROM g JOIN whole USING (label) LEFT JOIN sup USING (label)""")
+def enrichment_gate(spark, sf):
+    px = pixels(spark, sf)
+    whole = fits.ols(px, ["image", "label"], "c", "r", "v").select("image", "label", F.col("rmse").alias("single_rmse"))
+    parts = fits.ols(px, ["image", "label", "stripe"], "c", "r", "v").where("rmse is not null")
+    split = fits.aggregate_fits(parts, ["image", "label"], "samples", ["rmse"]).select("image", "label", F.col("fits").alias("fitted_parts"), F.col("rmse").alias("split_rmse"))
+    count = px.groupBy("image", "label").agg(F.count_distinct("stripe").alias("parts"))
+    inside = px.select(F.struct("image", "label").alias("image"), "r", "c", F.col("stripe").alias("label"), "evidence")
+    on = raster.internal_boundary(inside).join(inside.select("image", "r", "c", "evidence"), ["image", "r", "c"]).groupBy("image.image", "image.label").agg(F.avg("evidence").alias("support"))
+    both = count.join(whole, ["image", "label"]).join(split, ["image", "label"], "left").join(on, ["image", "label"], "left")
+    return scores.enrichment(both, least_support=0.05).select("image", "label", "parts", S.fixed(F.col("improvement")).alias("improvement"), "accepted")
+
+
+@query("acceptance_gate", f"""{SCORES}, cx AS (SELECT candidate, count(*) AS complexity FROM edge GROUP BY candidate), ls AS (SELECT candidate, list(DISTINCT label) AS labels FROM k GROUP BY candidate),
+  reg AS (SELECT count(*) FILTER (WHERE v > -0.2 AND c < 60) / count(*) FILTER (WHERE v > -0.2 OR c < 60) >= 0.42 AS ok FROM px),
+  r AS (SELECT s.candidate, reg.ok AS registered, s.rmse <= b.rmse + 1e-6 AS residual_improved, list_has_all(ls.labels, bl.labels) AS labels_preserved, cx.complexity / greatest(bc.complexity, 1) <= 1.08 AS complexity_accepted
+    FROM scored s CROSS JOIN reg JOIN scored b ON b.candidate = 'label' JOIN ls ON ls.candidate = s.candidate JOIN ls bl ON bl.candidate = 'label' JOIN cx ON cx.candidate = s.candidate JOIN cx bc ON bc.candidate = 'label')
+  SELECT candidate, residual_improved, labels_preserved, complexity_accepted, registered AND residual_improved AND labels_preserved AND complexity_accepted AS accepted FROM r""")
 def acceptance_gate(spark, sf):
-    s = pixels(spark, sf).groupBy("image", "stripe").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("v").alias("residual"), F.count_distinct("label").alias("labels"))
-    ok, failed = D.acceptance({"residual": F.col("residual") <= 0.18, "labels": F.col("labels") == 4, "size": F.col("n") >= 1000})
-    return s.select("image", "stripe", ok.alias("accepted"), failed.alias("failed"))
+    px = _variants(spark, sf)
+    fitted = fits.aggregate_fits(_candidate_fits(px).where("rmse is not null"), ["candidate"], "samples", ["rmse"]).select("candidate", F.col("rmse").alias("refined_rmse"))
+    labels = px.groupBy("candidate").agg(F.collect_set("label").alias("refined_labels"))
+    complexity = raster.boundary_complexity(px.withColumn("image", F.col("candidate"))).select(F.col("image").alias("candidate"), F.col("complexity").alias("refined_complexity"))
+    each = fitted.join(labels, "candidate").join(complexity, "candidate")
+    base = each.where("candidate = 'label'").select(*[F.col(f"refined_{k}").alias(f"baseline_{k}") for k in ("rmse", "labels", "complexity")])
+    iou = raster.mask_scores(pixels(spark, sf), F.col("v") > -0.2, F.col("c") < 60).select((F.col("iou") >= 0.42).alias("registered"))
+    made = scores.refinement_gate(each.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(iou)))  # one row each
+    return made.select("candidate", "residual_improved", "labels_preserved", "complexity_accepted", "accepted")
 
 
 @query("mask_quality", """, q AS (SELECT image, max(c) + 1 AS w, max(r) + 1 AS h, count(*) FILTER (WHERE v > 0.15) AS area, count(*) AS n, count(*) FILTER (WHERE v > 0.15 AND (c = 0 OR r = 0)) AS edge_contacts,
@@ -457,8 +605,16 @@ def watershed_partition(spark, sf):
 @query("routed_boundaries")
 def routed_boundaries(spark, sf):
     px = pixels(spark, sf)
-    ends = px.groupBy("image").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).select("image", "r0", F.lit(2).cast("long").alias("c0"), "r1", F.lit(60).cast("long").alias("c1"))
-    return vector.route(px, "evidence", ends).groupBy("image").agg(F.count(F.lit(1)).alias("steps"))
+    long = F.lit(2).cast("long"), F.lit(60).cast("long")
+    ends = px.groupBy("image").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).select("image", F.lit(0).cast("long").alias("route"), "r0", long[0].alias("c0"), "r1", long[1].alias("c1"))
+    short = px.where("c = 0 and r % 100 = 0 and r + 40 <= 100 * floor(r / 100) + 99").select("image", (F.col("r") / 100 + 1).cast("long").alias("route"), F.col("r").alias("r0"), long[0].alias("c0"), (F.col("r") + 40).alias("r1"), long[1].alias("c1"))
+    return vector.route(px, "evidence", ends.unionByName(short)).groupBy("image", "route").agg(F.count(F.lit(1)).alias("steps"))
+
+
+@query("intersection_regions")
+def intersection_regions(spark, sf):
+    px = pixels(spark, sf).withColumn("pixel", F.col("r") * 64 + F.col("c"))
+    return graph.intersection_partition(px, "label", "stripe", "pixel").groupBy("image", "label", "stripe").agg(F.count_distinct("region").alias("regions"), F.count(F.lit(1)).alias("pixels"))
 
 
 # Meshes.
@@ -519,8 +675,8 @@ def face_grouping(spark, sf):
 PLANES = f"""{GROUPED}, sums AS (SELECT grp, count(*) AS faces, sum(area) AS area, sum(area * cx) / sum(area) AS cx, sum(area * cy) / sum(area) AS cy, sum(area * cz) / sum(area) AS cz, sum(area * nx) AS sx, sum(area * ny) AS sy, sum(area * nz) AS sz FROM grouped GROUP BY grp),
   plane AS (SELECT *, sx / sqrt(sx * sx + sy * sy + sz * sz) AS nx, sy / sqrt(sx * sx + sy * sy + sz * sz) AS ny, sz / sqrt(sx * sx + sy * sy + sz * sz) AS nz FROM sums),
   used AS (SELECT DISTINCT grp, unnest([a, b, c]) AS vid FROM grouped),
-  res AS (SELECT used.grp, abs((x - cx) * nx + (y - cy) * ny + (z - cz) * nz) AS d FROM used JOIN vert USING (vid) JOIN plane ON plane.grp = used.grp),
-  fitted AS (SELECT plane.*, r.vertices, r.rms, r.worst, r.p95 FROM plane JOIN (SELECT grp, count(*) AS vertices, sqrt(avg(d * d)) AS rms, max(d) AS worst, quantile_cont(d, 0.95) AS p95 FROM res GROUP BY grp) r ON r.grp = plane.grp)"""
+  res AS (SELECT used.grp, used.vid, abs((x - cx) * nx + (y - cy) * ny + (z - cz) * nz) AS d, sqrt(greatest((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2 - ((x - cx) * nx + (y - cy) * ny + (z - cz) * nz) ** 2, 0)) AS along FROM used JOIN vert USING (vid) JOIN plane ON plane.grp = used.grp),
+  fitted AS (SELECT plane.*, r.vertices, r.rms, r.worst, r.p95, r.reach FROM plane JOIN (SELECT grp, count(*) AS vertices, sqrt(avg(d * d)) AS rms, max(d) AS worst, quantile_cont(d, 0.95) AS p95, max(along) AS reach FROM res GROUP BY grp) r ON r.grp = plane.grp)"""
 
 
 def _planes(spark, sf):
@@ -537,9 +693,9 @@ def rejection_counts(spark, sf):
     return _planes(spark, sf).groupBy(mesh.gates(2, 1.2, 0.0005).alias("reason")).agg(F.count(F.lit(1)).alias("planes"))
 
 
-@query("numbered_planes", f"""{PLANES} SELECT grp AS "group", 'roof_plane_' || lpad(CAST(row_number() OVER (ORDER BY round(area, 9) DESC, grp) AS VARCHAR), 3, '0') AS plane_id FROM fitted WHERE faces >= 3""")
+@query("numbered_planes", f"""{PLANES} SELECT grp AS "group", 'roof_plane_' || lpad(CAST(row_number() OVER (ORDER BY round(area, 9) DESC, grp) AS VARCHAR), 3, '0') AS plane_id FROM fitted""")
 def numbered_planes(spark, sf):
-    return mesh.numbered(_planes(spark, sf).where("faces >= 3").withColumn("area", F.round("area", 9))).select("group", "plane_id")
+    return mesh.numbered(_planes(spark, sf).withColumn("area", F.round("area", 9))).select("group", "plane_id")
 
 
 @query("boundary_vertices", f"""{GROUPED}, s2 AS (SELECT grp, unnest([least(a, b), least(b, c), least(c, a)]) AS u, unnest([greatest(a, b), greatest(b, c), greatest(c, a)]) AS w FROM grouped), once AS (SELECT grp, u, w FROM s2 GROUP BY ALL HAVING count(*) = 1),
@@ -548,18 +704,51 @@ def boundary_vertices(spark, sf):
     return mesh.boundary_vertices(_grouped(spark, sf)).groupBy("group").agg(F.count(F.lit(1)).alias("vertices"))
 
 
-@query("coplanar_pairs", f"""{PLANES}, big AS (SELECT *, sqrt(area) AS radius FROM fitted WHERE faces >= 3)
-  SELECT a.grp AS a, b.grp AS b FROM big a JOIN big b ON a.grp < b.grp WHERE a.nx * b.nx + a.ny * b.ny + a.nz * b.nz >= cos(radians(3.0))
+@query("coplanar_pairs", f"""{PLANES} SELECT a.grp AS a, b.grp AS b FROM fitted a JOIN fitted b ON a.grp < b.grp AND abs(a.cx - b.cx) <= 30 AND abs(a.cy - b.cy) <= 30 WHERE a.nx * b.nx + a.ny * b.ny + a.nz * b.nz >= cos(radians(3.0))
     AND least(abs((b.cx - a.cx) * a.nx + (b.cy - a.cy) * a.ny + (b.cz - a.cz) * a.nz), abs((b.cx - a.cx) * b.nx + (b.cy - a.cy) * b.ny + (b.cz - a.cz) * b.nz)) <= 0.05
-    AND sqrt((b.cx - a.cx) ** 2 + (b.cy - a.cy) ** 2 + (b.cz - a.cz) ** 2) <= a.radius + b.radius + 0.5""")
+    AND sqrt(greatest((b.cx - a.cx) ** 2 + (b.cy - a.cy) ** 2 + (b.cz - a.cz) ** 2 - ((b.cx - a.cx) * a.nx + (b.cy - a.cy) * a.ny + (b.cz - a.cz) * a.nz) ** 2, 0)) <= a.reach + b.reach + 0.5""")
 def coplanar_pairs(spark, sf):
-    return mesh.coplanar_pairs(_planes(spark, sf).where("faces >= 3").withColumn("radius", F.sqrt("area")), 3.0, 0.05, 0.5).select("a", "b")
+    return mesh.coplanar_pairs(_planes(spark, sf), 3.0, 0.05, 0.5).select("a", "b")
+
+
+@query("merge_modes", f"""{PLANES}, s3 AS (SELECT grp, unnest([least(a, b), least(b, c), least(c, a)]) AS u, unnest([greatest(a, b), greatest(b, c), greatest(c, a)]) AS w FROM grouped), open_edge AS (SELECT grp, u, w FROM s3 GROUP BY ALL HAVING count(*) = 1), rim AS (SELECT DISTINCT grp, unnest([u, w]) AS vid FROM open_edge),
+  t AS (SELECT res.grp, avg((d <= 0.002)::INTEGER) AS inlier_ratio, count(*) FILTER (WHERE d > 0.002) AS outliers, count(*) FILTER (WHERE d > 0.002 AND rim.vid IS NOT NULL) AS rim_out, max(d) AS most, quantile_cont(d, 0.95) AS high FROM res LEFT JOIN rim ON rim.grp = res.grp AND rim.vid = res.vid GROUP BY res.grp)
+  SELECT CASE WHEN most <= 0.002 THEN 'strict' WHEN high <= 0.002 AND inlier_ratio >= 0.95 AND most <= 0.1 AND (outliers = 0 OR rim_out / outliers >= 0.8) THEN 'robust' ELSE 'rejected' END AS mode, count(*) AS planes, CAST(sum(outliers) AS BIGINT) AS outliers, CAST(sum(rim_out) AS BIGINT) AS edge_outliers FROM t GROUP BY 1""")
+def merge_modes(spark, sf):
+    grouped, vertices = _grouped(spark, sf), _mesh(spark, sf)[1]
+    planes = mesh.fit_planes(grouped, vertices, "+Z")
+    out = mesh.robust_merge(planes, mesh.vertex_residuals(grouped, planes, vertices), mesh.boundary_vertices(grouped), 0.002)
+    return out.groupBy("mode").agg(F.count(F.lit(1)).alias("planes"), F.sum("outliers").alias("outliers"), F.sum("edge_outliers").alias("edge_outliers"))
+
+
+@query("scene_summary", f"{MESH} SELECT 'm' AS mesh, count(*) AS vertices, (SELECT count(*) FROM tri) AS triangles, min(x) AS least_x, min(y) AS least_y, min(z) AS least_z, max(x) AS most_x, max(y) AS most_y, max(z) AS most_z FROM vert")
+def scene_summary(spark, sf):
+    return mesh.scene_summary(*_mesh(spark, sf))
+
+
+@query("used_vertices", f'{GROUPED} SELECT grp AS "group", count(DISTINCT vid) AS vertices FROM (SELECT grp, unnest([a, b, c]) AS vid FROM grouped) GROUP BY grp')
+def used_vertices(spark, sf):
+    return mesh.used_vertices(_grouped(spark, sf), ["group"])
+
+
+@query("plane_basis", f"""{MESH}, h AS (SELECT fid, nx, ny, nz, CASE WHEN abs(nx) < 0.9 THEN 1.0 ELSE 0.0 END AS hx, CASE WHEN abs(nx) < 0.9 THEN 0.0 ELSE 1.0 END AS hy FROM geo), u AS (SELECT *, -nz * hy AS ux, nz * hx AS uy, nx * hy - ny * hx AS uz FROM h),
+  n AS (SELECT *, ux / sqrt(ux * ux + uy * uy + uz * uz) AS a, uy / sqrt(ux * ux + uy * uy + uz * uz) AS b, uz / sqrt(ux * ux + uy * uy + uz * uz) AS d FROM u)
+  SELECT fid, round(a, 6) + 0.0 AS ux, round(b, 6) + 0.0 AS uy, round(d, 6) + 0.0 AS uz, round(ny * d - nz * b, 6) + 0.0 AS vx, round(nz * a - nx * d, 6) + 0.0 AS vy, round(nx * b - ny * a, 6) + 0.0 AS vz FROM n""")
+def plane_basis(spark, sf):
+    u, v = mesh.plane_basis(F.col("nx"), F.col("ny"), F.col("nz"))
+    return _geometry(spark, sf).select("fid", *[S.fixed(x).alias(f"{n}{k}") for n, xs in (("u", u), ("v", v)) for k, x in zip("xyz", xs)])
+
+
+@query("reduction_percent", f"{PLANES} SELECT faces, count(*) AS planes, round(avg(100.0 * (1 - vertices / (3.0 * faces))), 6) + 0.0 AS reduction FROM fitted GROUP BY faces")
+def reduction_percent(spark, sf):
+    cutted = mesh.reduction(3.0 * F.col("faces"), F.col("vertices"))
+    return _planes(spark, sf).groupBy("faces").agg(F.count(F.lit(1)).alias("planes"), S.fixed(F.avg(cutted)).alias("reduction"))
 
 
-@query("rotate_planes", f"""{PLANES}, big AS (SELECT * FROM fitted WHERE faces >= 3) SELECT grp AS "group", rotation, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(z, 4) + 0.0 AS z FROM (
+@query("rotate_planes", f"""{PLANES}, big AS (SELECT * FROM fitted) SELECT grp AS "group", rotation, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(z, 4) + 0.0 AS z FROM (
   SELECT grp, 'x+90' AS rotation, cx AS x, 20 - cz AS y, cy - 20 AS z FROM big UNION ALL SELECT grp, 'z-90', 10 + cy - 20, 20 - (cx - 10), cz FROM big UNION ALL SELECT grp, 'y+90', 10 + cz, cy, 0 - (cx - 10) FROM big)""")
 def rotate_planes(spark, sf):
-    out = mesh.rotate(_planes(spark, sf).where("faces >= 3"), [("cx", "cy", "cz")], (10.0, 20.0, 0.0), ["x+90", "z-90", "y+90"])
+    out = mesh.rotate(_planes(spark, sf), [("cx", "cy", "cz")], (10.0, 20.0, 0.0), ["x+90", "z-90", "y+90"])
     return out.select("group", "rotation", *[S.fixed(F.col(f"c{k}"), 4).alias(k) for k in "xyz"])
 
 
