@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-CHUNK_CHARS = 1 << 20
-CACHE_PIECES = 1 << 18
+CHUNK_CHARS = 1 << 18
+CACHE_PIECES = 1 << 16
 CACHED_BYTES = 64  # longer pieces are merged each time
 _NEVER = 1 << 40
 
@@ -99,12 +99,13 @@ def _classes() -> np.ndarray:
     """Class of every code point, by the Unicode tables of the library whose results are to be met."""
     import tiktoken
 
-    points = "".join(map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))))
     single = {bytes([i]): i for i in range(256)}
     out = np.full(0x110000, OTHER, np.uint8)
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
         probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=single, special_tokens={})
-        out[_points(probe.decode_bytes(probe.encode_ordinary(points)).decode())] = kind
+        for low in range(0, 0x110000, 1 << 14):  # in parts, as a worker has little memory
+            points = "".join(chr(c) for c in range(low, low + (1 << 14)) if not 0xD800 <= c < 0xE000)
+            out[_points(probe.decode_bytes(probe.encode_ordinary(points)).decode())] = kind
     out[0x20] = BLANK
     return out
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
+from ..operators.joins import components
 from .common import OWN, drop_rows, hot_join, materialise, probe, reserve, ship, sieve, with_row_id
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -44,7 +44,7 @@ SKETCH_BITS, MISS = 4, 1e-5
 NODE_BLOCK = 4096
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 CHUNK_CHARS = 1 << 20
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 16
 BATCH_SHINGLES = 1 << 15
 
 _RID = OWN + "rid"
