@@ -29,7 +29,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +39,7 @@ MAX_LANGUAGES = 128
 MAX_WORDS, MAX_GRAMS, LONGEST = 60_000, 20_000, 5
 LONG_WORD = 64
 SMOOTH = 0.1
-CACHE_WORDS = 200_000
+CACHE_WORDS = 1 << 16
 CHUNK_CHARS = 1 << 20
 FOLDS = 5
 UNKNOWN = "und"
@@ -154,7 +153,7 @@ class Scorer:
 
 
 COUNTS = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("item", pa.string()), ("n", pa.int64())])
-FLUSH_ITEMS = 200_000
+FLUSH_ITEMS = 50_000
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +192,9 @@ def _grams(words: DataFrame) -> DataFrame:
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_languages: int = MAX_LANGUAGES) -> Model:
     """A model of the rows with text and language; what may not be learned from is left out by the caller."""
-    spark = df.sparkSession
-    ship(spark)
+    ship(df.sparkSession)
     labelled = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not sizes:
-        return _model([], {k: [] for k in range(LONGEST + 1)})
-    sizes = spark.createDataFrame([tuple(r) for r in sizes], "lang string, size long")
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).withColumnRenamed("count", "size")
     # A hash of the text chooses the same sample however the rows are laid out.
     u = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
     some = labelled.join(F.broadcast(sizes), "lang").where(u < docs_per_language / F.col("size")).select("lang", "text")
@@ -207,15 +202,35 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_pe
     counts = materialise(counts, "word-counts")
     both = counts.unionByName(_grams(counts.where("kind = 0").select("lang", "item", "n")))
     items = both.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")).groupBy("kind", "item").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n"))
-    rank = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), "item"))
-    top = items.where("n > 1").withColumn("rank", rank).where(f"rank <= if(kind = 0, {max_words}, {max_grams})")
-    kept: dict[int, list] = {k: [] for k in range(LONGEST + 1)}
-    for kind, item, by, _ in sorted(zip(*(c.to_pylist() for c in top.select("kind", "item", "by", "rank").toArrow().columns)), key=lambda r: (r[0], r[3])):
-        kept[kind].append((item, {x["lang"]: x["n"] for x in by}))
+    kept = _top(materialise(items.where("n > 1"), "items"), [max_words, *[max_grams] * LONGEST])
     languages = sorted({lang for rows in kept.values() for _, by in rows for lang in by})
     return _model(languages, kept)
 
 
+def _top(items: DataFrame, most: list[int]) -> dict[int, list]:
+    """For each kind the most frequent items, at most so many; of equally frequent ones the first.
+
+    How often each count occurs (few numbers, as the sample is bounded) gives the count down to which all items fit, so no
+    task sorts a kind; only items with that very count are ordered.
+    """
+    steps = sorted(map(tuple, items.groupBy("kind", "n").agg(F.count(F.lit(1))).collect()), key=lambda r: (r[0], -r[1]))
+    parts = []
+    for kind, rows in itertools.groupby(steps, lambda r: r[0]):
+        left, above = most[kind], None
+        for _, n, items_of in rows:
+            if items_of > left:
+                parts.append(items.where((F.col("kind") == kind) & (F.col("n") == n)).orderBy("item").limit(left))
+                break
+            left, above = left - items_of, n
+        if above is not None:
+            parts.append(items.where((F.col("kind") == kind) & (F.col("n") >= above)))
+    kept: dict[int, list] = {k: [] for k in range(LONGEST + 1)}
+    for part in parts:
+        for kind, item, by, n in zip(*(c.to_pylist() for c in part.select("kind", "item", "by", "n").toArrow().columns)):
+            kept[kind].append((-n, item, {x["lang"]: x["n"] for x in by}))
+    return {k: [(item, by) for _, item, by in sorted(rows, key=lambda r: r[:2])] for k, rows in kept.items()}
+
+
 def _model(languages: list[str], kept: dict[int, list]) -> Model:
     def scores(rows: list) -> np.ndarray:
         table = np.array([[by.get(lang, 0) for lang in languages] for _, by in rows], float).reshape(len(rows), len(languages))

@@ -131,3 +131,13 @@ def test_languages_are_bounded_and_names_are_guarded(spark):
     assert langid.train(df, max_languages=7).languages == [f"l{k}" for k in range(7)]
     with pytest.raises(ValueError):
         langid.predict(df.withColumn("score", F.lit(1)), langid.train(df))
+
+
+def test_the_most_frequent_items(spark):
+    draw = random.Random(11)
+    rows = [(kind, f"i{k}", draw.choice([2, 3, 3, 5, 9])) for kind in range(6) for k in range(50)]
+    items = spark.createDataFrame([(k, i, [("x", n)], n) for k, i, n in rows], "kind int, item string, by array<struct<lang:string,n:long>>, n long")
+    most = [7, 1, 50, 49, 100, 23]
+    got = langid._top(items, most)
+    for kind in range(6):
+        assert [i for i, _ in got[kind]] == [i for _, i in sorted((-n, i) for k, i, n in rows if k == kind)][: most[kind]]
