@@ -59,11 +59,12 @@ def with_row_id(df: DataFrame, name: str = OWN + "rid") -> DataFrame:
     if len(paths) <= 1:
         return df.withColumn(name, row)
     spark, path, number = df.sparkSession, OWN + "path", OWN + "file"
-    files = spark.createDataFrame([(x, k) for k, x in enumerate(paths)], f"{path} string, {number} long")
+    # One literal, as paths are URL-encoded and hold no line feed: a local table of Python rows would be made by workers.
+    files = spark.range(1).select(F.posexplode(F.split(F.lit("\n".join(paths)), "\n")).alias(number, path))
     found = df.withColumns({name: row, OWN + "at": at["file_path"]})
     found = found.join(F.broadcast(files), found[OWN + "at"] == files[path], "left")
-    known = F.coalesce(number, F.raise_error(F.lit("a file was added while it was read")).cast("long"))
-    return found.withColumn(name, F.shiftleft(known, ROW_BITS) + F.col(name)).drop(OWN + "at", path, number)
+    known = F.coalesce(number, F.raise_error(F.lit("a file was added while it was read")).cast("int"))
+    return found.withColumn(name, F.shiftleft(known.cast("long"), ROW_BITS) + F.col(name)).drop(OWN + "at", path, number)
 
 
 def _plain(df: DataFrame) -> bool:
@@ -91,7 +92,8 @@ def sieve(keys: DataFrame, key: str, name: str, bits: int | None = None) -> Siev
     It holds every given hash and some others, so what it rejects is certainly absent.
     """
     if bits is None:
-        keys = materialise(keys.select(key), f"{name}-keys")
+        if not _plain(keys):
+            keys = materialise(keys.select(key), f"{name}-keys")
         bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, keys.count()))) + 4))
     words = (
         keys.select(bit(F.col(key), bits).alias("at"))
