@@ -174,11 +174,12 @@ def used_vertices(faces: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def plane_basis(nx: Column, ny: Column, nz: Column) -> tuple[tuple[Column, ...], tuple[Column, ...]]:
-    """Two unit vectors that span the plane of a unit normal: the first is square to the normal and to the axis (x, or y where
-    the normal is within about 26 degrees of x), the second square to both."""
-    helper = (F.when(F.abs(nx) < 0.9, 1.0).otherwise(0.0), F.when(F.abs(nx) < 0.9, 0.0).otherwise(1.0), F.lit(0.0))
+    """Two unit vectors that span the plane of a unit normal: the first is square to the normal and to z (to x where the
+    normal is within about 26 degrees of z), the second square to both."""
+    steep = F.abs(nz) > 0.9
+    helper = (F.when(steep, 1.0).otherwise(0.0), F.lit(0.0), F.when(steep, 0.0).otherwise(1.0))
     cross = lambda p, q: (p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0])
-    u = cross((nx, ny, nz), helper)
+    u = cross(helper, (nx, ny, nz))
     size = F.sqrt(u[0] * u[0] + u[1] * u[1] + u[2] * u[2])
     u = tuple(x / size for x in u)
     return u, cross((nx, ny, nz), u)

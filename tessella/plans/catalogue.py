@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import documents as D
-from ..operators import fits, graph, mesh, raster, scores, vector
+from ..operators import fits, graph, mesh, outlines, raster, scores, vector
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -544,6 +544,17 @@ def geojson_bbox(spark, sf):
     return D.box_geojson(b, "label").select("label", "geojson")
 
 
+@query("contour_features")
+def contour_features(spark, sf):
+    px = pixels(spark, sf)
+    return outlines.pixel_features(px, raster.summary(px))
+
+
+@query("world_features")
+def world_features(spark, sf):
+    return outlines.world_features(pixels(spark, sf), AFFINE, _fits(spark, sf).select("image", "label", "samples", F.round("rmse", 8).alias("rmse")))
+
+
 # Components.
 TILE = 10
 
@@ -731,7 +742,7 @@ def used_vertices(spark, sf):
     return mesh.used_vertices(_grouped(spark, sf), ["group"])
 
 
-@query("plane_basis", f"""{MESH}, h AS (SELECT fid, nx, ny, nz, CASE WHEN abs(nx) < 0.9 THEN 1.0 ELSE 0.0 END AS hx, CASE WHEN abs(nx) < 0.9 THEN 0.0 ELSE 1.0 END AS hy FROM geo), u AS (SELECT *, -nz * hy AS ux, nz * hx AS uy, nx * hy - ny * hx AS uz FROM h),
+@query("plane_basis", f"""{MESH}, h AS (SELECT fid, nx, ny, nz, CASE WHEN abs(nz) > 0.9 THEN 1.0 ELSE 0.0 END AS hx, CASE WHEN abs(nz) > 0.9 THEN 0.0 ELSE 1.0 END AS hz FROM geo), u AS (SELECT *, -hz * ny AS ux, hz * nx - hx * nz AS uy, hx * ny AS uz FROM h),
   n AS (SELECT *, ux / sqrt(ux * ux + uy * uy + uz * uz) AS a, uy / sqrt(ux * ux + uy * uy + uz * uz) AS b, uz / sqrt(ux * ux + uy * uy + uz * uz) AS d FROM u)
   SELECT fid, round(a, 6) + 0.0 AS ux, round(b, 6) + 0.0 AS uy, round(d, 6) + 0.0 AS uz, round(ny * d - nz * b, 6) + 0.0 AS vx, round(nz * a - nx * d, 6) + 0.0 AS vy, round(nx * b - ny * a, 6) + 0.0 AS vz FROM n""")
 def plane_basis(spark, sf):
@@ -739,6 +750,26 @@ def plane_basis(spark, sf):
     return _geometry(spark, sf).select("fid", *[S.fixed(x).alias(f"{n}{k}") for n, xs in (("u", u), ("v", v)) for k, x in zip("xyz", xs)])
 
 
+# Of groups that are one disc (as many rim vertices as rim edges, and V - E + F = 1) the area inside the loop is that of the
+# faces laid into the plane; others have no area here.
+@query("face_outlines", f"""{PLANES}, s4 AS (SELECT grp, unnest([least(a, b), least(b, c), least(c, a)]) AS u, unnest([greatest(a, b), greatest(b, c), greatest(c, a)]) AS w FROM grouped), e AS (SELECT grp, u, w, count(*) AS n FROM s4 GROUP BY ALL),
+  k AS (SELECT grp, count(*) AS edges, count(*) FILTER (WHERE n = 1) AS rim FROM e GROUP BY grp), v AS (SELECT grp, count(DISTINCT x) AS rim_vertices FROM (SELECT grp, unnest([u, w]) AS x FROM e WHERE n = 1) GROUP BY grp),
+  flat AS (SELECT g.grp, sum(g.area * (g.nx * p.nx + g.ny * p.ny + g.nz * p.nz)) AS area FROM grouped g JOIN plane p ON p.grp = g.grp GROUP BY g.grp)
+  SELECT f.grp AS "group", rim, CASE WHEN rim = rim_vertices AND vertices - edges + faces = 1 THEN round(flat.area, 5) END AS area FROM fitted f JOIN k ON k.grp = f.grp JOIN v ON v.grp = f.grp JOIN flat ON flat.grp = f.grp""")
+def face_outlines(spark, sf):
+    grouped, vertices = _grouped(spark, sf), _mesh(spark, sf)[1]
+    found = outlines.loops(grouped, vertices, mesh.fit_planes(grouped, vertices, "+Z"), 0.0)
+    simple = (F.count(F.lit(1)) == 1) & F.bool_and(F.size(F.array_distinct("points")) == F.col("raw_vertices"))
+    return found.groupBy("group").agg(F.sum("raw_vertices").alias("rim"), F.when(simple, F.round(F.sum(F.abs("area")), 5)).alias("area"))
+
+
+@query("plane_documents")
+def plane_documents(spark, sf):
+    grouped, vertices = _grouped(spark, sf), _mesh(spark, sf)[1]
+    planes = mesh.fit_planes(grouped, vertices, "+Z")
+    return outlines.plane_documents(mesh.numbered(planes), outlines.loops(grouped, vertices, planes, 0.02), 0.12, 0.05)
+
+
 @query("reduction_percent", f"{PLANES} SELECT faces, count(*) AS planes, round(avg(100.0 * (1 - vertices / (3.0 * faces))), 6) + 0.0 AS reduction FROM fitted GROUP BY faces")
 def reduction_percent(spark, sf):
     cutted = mesh.reduction(3.0 * F.col("faces"), F.col("vertices"))
