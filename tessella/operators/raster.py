@@ -252,6 +252,11 @@ def bbox(px: DataFrame, margin: int, width: int, height: int) -> DataFrame:
     )
 
 
+def mask_center(px: DataFrame, mask: Column) -> DataFrame:
+    """The mean column and row of a mask's pixels; an image whose mask is empty has no row."""
+    return px.where(mask).groupBy("image").agg(F.avg(F.col("c").cast("double")).alias("x"), F.avg(F.col("r").cast("double")).alias("y"))
+
+
 def changed(px: DataFrame, one: str, two: str) -> DataFrame:
     """Pixels whose label changed, and their share of the roof."""
     roof, diff = F.count_if((F.col(one) > 0) | (F.col(two) > 0)), F.count_if(F.col(one) != F.col(two))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import documents as D
-from ..operators import fits, graph, mesh, outlines, raster, scores, vector
+from ..operators import fits, graph, mesh, outlines, paths, raster, scores, vector
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -544,6 +544,21 @@ def geojson_bbox(spark, sf):
     return D.box_geojson(b, "label").select("label", "geojson")
 
 
+@query("mask_center", "SELECT image, round(avg(c), 6) AS x, round(avg(r), 6) AS y FROM px WHERE v > 0.1 GROUP BY image")
+def mask_center(spark, sf):
+    return raster.mask_center(pixels(spark, sf), F.col("v") > 0.1).select("image", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("label_matching", """, o AS (SELECT label, stripe, count(*) AS n FROM px GROUP BY ALL), a AS (SELECT label, count(*) AS n1 FROM px GROUP BY label), b AS (SELECT stripe, count(*) AS n2 FROM px GROUP BY stripe),
+  m AS (SELECT label, stripe, coalesce(n, 0) / (n1 + n2 - coalesce(n, 0)) AS iou FROM a CROSS JOIN b LEFT JOIN o USING (label, stripe)),
+  t AS (SELECT p.iou + q.iou + s.iou + u.iou AS total FROM m p JOIN m q ON q.label = 2 AND q.stripe <> p.stripe JOIN m s ON s.label = 3 AND s.stripe NOT IN (p.stripe, q.stripe) JOIN m u ON u.label = 4 AND u.stripe NOT IN (p.stripe, q.stripe, s.stripe) WHERE p.label = 1)
+  SELECT 'e' AS image, 4 AS pairs, round(max(total) / 4, 6) AS matched_mean_iou FROM t""")
+def label_matching(spark, sf):
+    px = pixels(spark, sf)
+    pairs = graph.matched_labels(raster.label_iou(px, "label", "stripe"), px, "label", "stripe")
+    return pairs.groupBy("image").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("iou"), 6).alias("matched_mean_iou"))
+
+
 @query("contour_features")
 def contour_features(spark, sf):
     px = pixels(spark, sf)
@@ -606,6 +621,21 @@ def simplified_paths(spark, sf):
     return vector.simplify_paths(path, 10.0).select("id", F.size("points").alias("vertices"))
 
 
+@query("target_component")
+def target_component(spark, sf):
+    px = pixels(spark, sf).withColumns({"on": F.col("v") > 0.05, "pixel": F.col("r") * 64 + F.col("c")})
+    return graph.target_component(px, "on", "pixel", 20.0, 30.0, least=2).groupBy("image", "component").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+@query("optimised_paths")
+def optimised_paths(spark, sf):
+    """Each row's values as a path across the raster, aligned with a line along the row."""
+    px = pixels(spark, sf)
+    corners = px.where("c % 8 = 0").select("image", F.col("r").alias("id"), F.col("c").alias("pos"), F.col("c").cast("double").alias("x"), (F.col("r") + 4 * F.col("v")).alias("y"))
+    lines = px.where("c = 0 and r % 40 = 0").select("image", F.col("r").alias("line_id"), F.lit(0.0).alias("lx1"), F.col("r").cast("double").alias("ly1"), F.lit(63.0).alias("lx2"), F.col("r").cast("double").alias("ly2"))
+    return paths.optimise(corners, lines, px, "evidence", F.col("v") > 0.3, 8.0, 6.0, 0.5, 0.6)[0].groupBy("image", "id").agg(F.count(F.lit(1)).alias("corners"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
 @query("watershed_partition")
 def watershed_partition(spark, sf):
     px = pixels(spark, sf)
