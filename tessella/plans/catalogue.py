@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import documents as D
-from ..operators import fits, graph, mesh, outlines, paths, raster, scores, vector
+from ..operators import fits, graph, mesh, outlines, partition, paths, raster, scores, vector, visibility
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -382,6 +382,20 @@ def planar_merge_round(spark, sf):
     return graph.planar_merges(both, 6.0, 0.15, 0.72).select("image", "a", "b")
 
 
+@query("planar_merge")
+def planar_merge(spark, sf):
+    px = pixels(spark, sf).withColumns({"label": F.col("label") * 10 + F.col("stripe"), "ok": F.col("v") > -0.3})
+    out, _ = partition.merge_planar(px.drop("stripe"), lambda p: fits.ols(p, ["image", "label"], "c", "r", "v"), "v", "ok", "evidence", 1.0, 0.12, 0.9)
+    return out.groupBy("image", "label").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+@query("snapped_partition")
+def snapped_partition(spark, sf):
+    px = pixels(spark, sf).withColumns({"label": F.when(F.col("c") < 60, F.col("stripe")).otherwise(0), "pixel": F.col("r") * 64 + F.col("c")})
+    out = partition.snap_partition(px.select("image", "r", "c", "label", "pixel", "evidence", "line"), "pixel", "evidence", "evidence", "line", (0.35, 0.5, 0.25), 2)
+    return out.groupBy("image", "label").agg(F.count(F.lit(1)).alias("pixels"))
+
+
 # Candidates, scores, gates.
 VARIANTS = ("label", "stripe", "mixed")
 
@@ -800,6 +814,26 @@ def plane_documents(spark, sf):
     return outlines.plane_documents(mesh.numbered(planes), outlines.loops(grouped, vertices, planes, 0.02), 0.12, 0.05)
 
 
+# From +X only faces of the same row of cells can hide a face.
+@query("visible_faces", f"""{MESH}, t3 AS (SELECT fid, (fid // 2) // 64 AS strip, p.x AS x1, p.y AS y1, p.z AS z1, q.x AS x2, q.y AS y2, q.z AS z2, s.x AS x3, s.y AS y3, s.z AS z3 FROM tri JOIN vert p ON p.vid = tri.a JOIN vert q ON q.vid = tri.b JOIN vert s ON s.vid = tri.c),
+  own AS (SELECT fid, (fid // 2) // 64 AS strip, cx, cy, cz FROM geo WHERE nx > 1e-6),
+  hit AS (SELECT own.fid, t3.fid AS other, x1 + ((cy - y1) * (z3 - z1) - (y3 - y1) * (cz - z1)) / det * (x2 - x1) + ((y2 - y1) * (cz - z1) - (cy - y1) * (z2 - z1)) / det * (x3 - x1) AS depth FROM own JOIN (SELECT *, (y2 - y1) * (z3 - z1) - (y3 - y1) * (z2 - z1) AS det FROM t3) t3 ON t3.strip = own.strip
+    WHERE abs(det) > 1e-18 AND ((cy - y1) * (z3 - z1) - (y3 - y1) * (cz - z1)) / det >= -1e-9 AND ((y2 - y1) * (cz - z1) - (cy - y1) * (z2 - z1)) / det >= -1e-9 AND ((cy - y1) * (z3 - z1) - (y3 - y1) * (cz - z1) + (y2 - y1) * (cz - z1) - (cy - y1) * (z2 - z1)) / det <= 1 + 1e-9),
+  top AS (SELECT fid, max(depth) AS depth FROM hit GROUP BY fid)
+  SELECT hit.fid FROM hit JOIN top USING (fid) WHERE hit.other = hit.fid AND hit.depth >= top.depth - 1e-9""")
+def visible_faces(spark, sf):
+    faces, vertices = _mesh(spark, sf)
+    return visibility.visible_faces(mesh.face_geometry(faces, vertices), faces, vertices, "+X").select("fid")
+
+
+@query("plane_visibility")
+def plane_visibility(spark, sf):
+    faces, vertices = _mesh(spark, sf)
+    grouped = _grouped(spark, sf)
+    out = visibility.directional_visibility(grouped, mesh.fit_planes(grouped, vertices, "+Z"), faces, vertices, "+X")
+    return out.select("group", F.round("visibility", 6).alias("visibility"))
+
+
 @query("reduction_percent", f"{PLANES} SELECT faces, count(*) AS planes, round(avg(100.0 * (1 - vertices / (3.0 * faces))), 6) + 0.0 AS reduction FROM fitted GROUP BY faces")
 def reduction_percent(spark, sf):
     cutted = mesh.reduction(3.0 * F.col("faces"), F.col("vertices"))
