@@ -66,9 +66,9 @@ def region_markers(px: DataFrame, inset: int, pixel: str) -> DataFrame:
 
 def blurred_boundary(px: DataFrame, flag: str, sigma: float, out: str) -> DataFrame:
     """A flag blurred and divided by its greatest value in the image; 0 where nothing is flagged."""
-    px = convolve(px.withColumn(out, F.col(flag).cast("double")), out, gaussian_kernel(sigma), out)
-    top = F.max(out).over(W.partitionBy("image"))
-    return px.withColumn("__top", top).withColumn(out, F.when(F.col("__top") > 0, F.col(out) / F.col("__top")).otherwise(F.col(out))).drop("__top")
+    px = cut(convolve(px.withColumn(out, F.col(flag).cast("double")), out, gaussian_kernel(sigma), out), "blurred")
+    tops = px.groupBy("image").agg(F.max(out).alias("__top"))
+    return px.join(F.broadcast(tops), "image").withColumn(out, F.when(F.col("__top") > 0, F.col(out) / F.col("__top")).otherwise(F.col(out))).drop("__top")
 
 
 def snap_partition(px: DataFrame, pixel: str, metric: str, visual: str, supported: str, weights: tuple[float, float, float], inset: int) -> DataFrame:
