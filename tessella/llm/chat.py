@@ -8,13 +8,13 @@ Control strings inside texts are escaped by one more ``~`` behind their first ch
 hold such marks among them, so no escaped text holds a control string and taking one mark away restores it. Roles are
 URL-encoded, which changes no ordinary role.
 
-An example's context is all that the examples before it hold, so ``expand`` gives each example as a row with the turns that
-it adds, the place of its target in the whole example, and nothing twice: linear in the input, where prefixes written out
-grow with the square of the turns. ``examples`` writes them out. ``read_back`` works on the rows of ``expand`` alone: it adds
-up the lengths of the texts that it reads, cuts each target out by the loss mask, and takes the turns apart.
+``expand`` gives each example as a row with the turns that it adds and the place of its target in the whole example, linear in
+the input. ``examples`` writes each out with its whole context, which grows with the square of a conversation's turns: that
+is the method's output. ``digests`` writes these whole examples down and ``read_back`` works on them alone: it cuts each
+target out of its example by the loss mask, measures each example, and takes the turns out of the last one.
 
-The rows of a conversation are sorted in one task but never held together, except for the digest of its turns, which is one
-string and so at most 2 GB.
+The rows of a conversation are sorted in one task, which also writes its examples; it holds the turns of one conversation
+once and one example, and each example is one string, so at most 2 GB.
 
 Defined cases: turns are ordered by (turn, role, text), nulls first; a null text or role counts as empty; repeated rows
 are repeated turns; a null conversation id is a conversation; no rows, no result; other columns are ignored.
@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Strings that open and close turns, and what follows the first character of a control string of this or
 #: of other common templates.
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
@@ -68,21 +70,18 @@ def expand(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     return made.select("conv_id", "example", joined.alias("text"), F.col("target.start").alias("loss_start"), F.col("target.chars").alias("loss_chars"))
 
 
-def _placed(expanded: DataFrame) -> DataFrame:
-    """Add ``begin``: the code points of the context, by the texts of the examples before."""
-    before = W.partitionBy("conv_id").orderBy("example").rowsBetween(W.unboundedPreceding, -1)
-    return expanded.withColumn("begin", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
-
-
 def examples(expanded: DataFrame) -> DataFrame:
-    """The rows of ``expand`` written out, each with its whole context: conv_id, example, text, loss_start, loss_chars."""
-    upto = W.partitionBy("conv_id").orderBy("example").rowsBetween(W.unboundedPreceding, 0)
-    return expanded.select("conv_id", "example", F.array_join(F.collect_list("text").over(upto), "").alias("text"), "loss_start", "loss_chars")
+    """The rows of ``expand`` written out, each with its whole context: conv_id, example, text, loss_start, loss_chars, final
+    (whether it is the last of its conversation, which holds all turns)."""
+    order = W.partitionBy("conv_id").orderBy("example")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    final = F.lead("example").over(order).isNull()
+    return expanded.select("conv_id", "example", F.array_join(F.collect_list("text").over(upto), "").alias("text"), "loss_start", "loss_chars", final.alias("final"))
 
 
-def read_back(expanded: DataFrame) -> DataFrame:
-    """For each example: conv_id, example, turns (array of struct: role, text), target (the text under its loss mask; null
-    without one), chars (of the whole example)."""
+def read_back(written: DataFrame) -> DataFrame:
+    """For each row of ``examples``: conv_id, example, turns (array of struct: role, text; null but for the final example, as
+    the others repeat its beginning), target (the text under its loss mask; null without one), chars."""
     parts = F.expr(f"filter(split(text, '{_quoted(CLOSE)}', -1), p -> p != '')")
     turns = F.transform(
         parts,
@@ -91,8 +90,8 @@ def read_back(expanded: DataFrame) -> DataFrame:
             unescape(p.substr(F.instr(p, "\n") + 1, F.length(p))).alias("text"),
         ),
     )
-    masked = F.expr("substring(text, cast(loss_start - begin as int) + 1, cast(loss_chars as int))")
-    return _placed(expanded).select("conv_id", "example", turns.alias("turns"), unescape(masked).alias("target"), (F.col("begin") + F.length("text")).alias("chars"))
+    masked = F.expr("substring(text, cast(loss_start as int) + 1, cast(loss_chars as int))")
+    return written.select("conv_id", "example", F.when(F.col("final"), turns).alias("turns"), unescape(masked).alias("target"), F.length("text").cast("long").alias("chars"))
 
 
 def _quoted(literal: str) -> str:
@@ -101,9 +100,11 @@ def _quoted(literal: str) -> str:
 
 
 def digests(expanded: DataFrame) -> DataFrame:
-    """What was read back, as counts and hashes."""
+    """The examples are written out whole; what is read back from them, as counts and hashes."""
+    written = materialise(examples(expanded), "chat")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    read = read_back(expanded).select("conv_id", "example", F.size("turns").alias("n"), said.alias("said"), "target", "chars")
+    read = read_back(written).select("conv_id", "example", F.when(F.col("turns").isNotNull(), F.size("turns")).alias("n"), said.alias("said"), "target", "chars")
     in_order = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", F.coalesce(c, F.lit("")).alias("x")))), lambda s: s.x), "")
+    # Only the final example has turns, so joining the texts in order gives its text alone.
     whole = read.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), in_order(F.col("said")).alias("said"), in_order(F.col("target")).alias("loss"), F.sum("chars").alias("formatted_chars"))
     return whole.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, dedup, langid, license, mixing, ngram_join, quality, sharding, warc
-from .common import materialise, table
+from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,7 +43,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
-    return chat.digests(materialise(chat.expand(told.unionByName(more)), "chat"))
+    return chat.digests(chat.expand(told.unionByName(more)))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,19 @@ def test_escape_is_reversible(spark):
     got = df.select("t", chat.escape(df.t).alias("e"), chat.unescape(chat.escape(df.t)).alias("u")).collect()
     assert all(r.t == r.u for r in got)
     assert not any(c in r.e for r in got for c in ("<|turn|>", "<|end|>", "</s>", "<s>", "[INST]", "[/INST]"))
+
+
+def test_targets_are_read_out_of_whole_examples(spark):
+    """What is read back is the written examples, each with its whole context."""
+    made = chat.expand(spark.createDataFrame(ROWS, SCHEMA))
+    written = chat.examples(made)
+    got = {(r.conv_id, r.example): r for r in chat.read_back(written).collect()}
+    for r in written.collect():
+        seen = got[r.conv_id, r.example]
+        assert seen.chars == len(r.text)
+        assert r.final == (r.example == max(e for c, e in got if c == r.conv_id))
+        assert (seen.turns is not None) == r.final and (not r.final or len(seen.turns) == r.example)
+    # Another context moves what lies under the mask.
+    text = chat.F.concat(chat.F.lit("x"), "text")
+    moved = {(r.conv_id, r.example): r for r in chat.read_back(written.withColumn("text", text)).collect()}
+    assert any(moved[k].target != got[k].target for k in got)
