@@ -221,10 +221,31 @@ def boundary_f1(px: DataFrame, one: str, two: str, radius: int = 3) -> DataFrame
     return out.withColumn("f1", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0))
 
 
+def exact_quantile(df: DataFrame, value: str, q: float, width: float = 0.001) -> DataFrame:
+    """(image, __q): what ``percentile`` gives of the values that are not null, without one buffer of an image's values.
+
+    A sketch gives two bounds ``width`` beside the quantile; what lies below is counted and only what lies between is sorted.
+    A bound that turns out to leave the quantile outside is left away, so the result is exact whatever the sketch says.
+    """
+    told = df.where(F.col(value).isNotNull()).select("image", F.col(value).cast("double").alias("v"))
+    sketch = F.percentile_approx("v", [max(0.0, q - width), min(1.0, q + width)], 10_000)
+    asked = told.groupBy("image").agg(F.count(F.lit(1)).alias("n"), sketch.alias("b")).withColumn("at", (F.col("n") - 1) * F.lit(q))
+    asked = cut(asked.select("image", "at", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi")), "bounds")
+    counted = told.join(F.broadcast(asked), "image").groupBy("image", "at", "lo", "hi").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.count_if(F.col("v") <= F.col("hi")).alias("upto"))
+    low, high = F.col("below") <= F.floor("at"), F.col("upto") > F.ceil("at")
+    counted = cut(counted.select("image", "at", F.when(low, F.col("lo")).alias("lo"), F.when(high, F.col("hi")).alias("hi"), F.when(low, F.col("below")).otherwise(0).alias("below")), "bounds")
+    near = told.join(F.broadcast(counted), "image").where("(lo is null or v >= lo) and (hi is null or v <= hi)").groupBy("image", "at", "below", "v").agg(F.count(F.lit(1)).alias("k"))
+    ranked = near.withColumn("__upto", F.col("below") + F.sum("k").over(W.partitionBy("image").orderBy("v")))
+    ends = ranked.groupBy("image", "at").agg(*[F.min(F.when(F.col("__upto") > f("at"), F.col("v"))).alias(name) for name, f in (("one", F.floor), ("two", F.ceil))])
+    return ends.select("image", F.when(F.col("one") == F.col("two"), F.col("one")).otherwise((F.ceil("at") - F.col("at")) * F.col("one") + (F.col("at") - F.floor("at")) * F.col("two")).alias("__q"))
+
+
 def weighted_evidence(px: DataFrame, weights: dict[str, float], out: str) -> DataFrame:
     """A weighted sum of edge maps, each divided by its 98th percentile and cut at 1."""
-    tops = px.groupBy("image").agg(*[F.percentile(n, F.lit(0.98)).alias(f"__t_{n}") for n in weights])
-    px = px.join(tops, "image")
+    told = cut(px.select("image", *weights), "evidence")
+    for n in weights:
+        top = exact_quantile(told, n, 0.98).withColumnRenamed("__q", f"__t_{n}")
+        px = px.where("image is not null").join(F.broadcast(top), "image", "left")  # one row for each image
     total = sum((F.when(F.col(f"__t_{n}") > 1e-6, F.least(F.col(n) / F.col(f"__t_{n}"), F.lit(1.0))).otherwise(0.0) * w for n, w in weights.items()), F.lit(0.0))
     return px.withColumn(out, total).drop(*[f"__t_{n}" for n in weights])
 
@@ -333,13 +354,26 @@ def displacement(px: DataFrame, boundary: str, baseline: str, radius: int = 3) -
     return far.groupBy("image").agg(F.count_if(boundary).alias("pixels"), F.coalesce(F.avg(F.when(F.col(boundary), F.col("__far"))), F.lit(0.0)).alias("distance"))
 
 
-def supported_boundary(px: DataFrame, boundary: str, other: str, evidence: str, most: float, out: str, radius: int = 3) -> DataFrame:
+def within(px: DataFrame, flag: str, most: float, out: str) -> DataFrame:
+    """Whether a flagged pixel is at most ``most`` away: a disc put together of a stretch of each of its rows, by windows."""
+    on, reach = F.coalesce(F.col(flag), F.lit(False)).cast("int"), math.floor(most)
+    halves = {dr: math.isqrt(math.floor(most * most) - dr * dr) for dr in range(reach + 1)} if most >= 0 else {}
+    rows = {w: W.partitionBy("image", "r").orderBy("c").rangeBetween(-w, w) for w in set(halves.values())}
+    px = px.withColumns({f"__w{w}": F.max(on).over(at) for w, at in rows.items()})
+    line = W.partitionBy("image", "c").orderBy("r")
+    met = [F.max(f"__w{w}").over(line.rangeBetween(dr, dr)) for half, w in halves.items() for dr in {half, -half}]
+    near = F.coalesce(F.greatest(*met, F.lit(0), F.lit(0)) > 0, F.lit(False))
+    return px.withColumn(out, near).drop(*[f"__w{w}" for w in rows])
+
+
+def supported_boundary(px: DataFrame, boundary: str, other: str, evidence: str, most: float, out: str) -> DataFrame:
     """Flag the boundary's pixels that are within ``most`` of another boundary, or whose evidence reaches the 62nd percentile
     of the evidence on the boundary (1 without such pixels)."""
-    limits = px.where(F.col(boundary)).groupBy("image").agg(F.percentile(evidence, F.lit(0.62)).alias("__limit"))
-    far = boundary_distance(px, other, "__far", radius).join(limits, "image", "left")
-    ok = F.col(boundary) & ((F.col("__far") <= most) | (F.col(evidence) >= F.coalesce("__limit", F.lit(1.0))))
-    return far.withColumn(out, F.coalesce(ok, F.lit(False))).drop("__far", "__limit")
+    px = cut(px, "boundaries")
+    limits = exact_quantile(px.where(F.col(boundary)), evidence, 0.62).withColumnRenamed("__q", "__limit")
+    near = within(px, other, most, "__near").join(F.broadcast(limits), "image", "left")
+    ok = F.col(boundary) & (F.col("__near") | (F.col(evidence) >= F.coalesce("__limit", F.lit(1.0))))
+    return near.withColumn(out, F.coalesce(ok, F.lit(False))).drop("__near", "__limit")
 
 
 def _fill_far(holes: DataFrame, seen: DataFrame) -> DataFrame:

@@ -387,3 +387,22 @@ def test_clusters_link_cells_and_not_all_pairs(spark):
     got = graph.cluster_points(points, 1.0, ["image"])
     assert "FlatMap" not in got._jdf.queryExecution().toString()
     assert sorted((r.image, r.id, r.root) for r in got.collect()) == sorted((im, i, find(im, i)) for im, i, *_ in rows)
+
+
+def test_quantiles_and_discs_need_no_buffer_of_an_image(spark):
+    rng = random.Random(9)
+    rows = [("a", r, c, rng.choice([rng.gauss(0, 1), 0.5, 1e9 * rng.random()]), rng.random() < 0.03) for r in range(90) for c in range(70) if (r, c) != (3, 3)]
+    rows += [("b", 0, 0, 2.0, True), ("b", 0, 1, None, False), ("c", 0, 0, 1.0, None), ("c", 0, 1, 4.0, False)]
+    px = spark.createDataFrame(rows, "image string, r long, c long, v double, on boolean").cache()
+    for q in (0.0, 0.02, 0.62, 0.98, 1.0):
+        want = {r.image: r.p for r in px.groupBy("image").agg(F.percentile("v", F.lit(q)).alias("p")).collect()}
+        for width in (0.001, 0.0):
+            assert {r.image: pytest.approx(r["__q"]) for r in raster.exact_quantile(px, "v", q, width).collect()} == want
+    lit = [r[:3] for r in rows if r[4]]
+    for most in (0.0, 1.5, 2.0, 3.2):
+        want = {r[:3] for r in rows if any(r[0] == x[0] and (r[1] - x[1]) ** 2 + (r[2] - x[2]) ** 2 <= most * most for x in lit)}
+        assert {(r.image, r.r, r.c) for r in raster.within(px, "on", most, "near").where("near").collect()} == want
+    for df in (raster.supported_boundary(px, "on", "on", "v", 2.0, "ok"), raster.weighted_evidence(px, {"v": 1.0}, "e")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in plan and "Generate explode" not in plan
+    px.unpersist()
