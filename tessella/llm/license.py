@@ -272,7 +272,11 @@ def train(df: DataFrame, text_col: str = "text", unknown_rows: int = UNKNOWN_ROW
     rows = known.unionByName(told.select("family", "text", "fold")).unionByName(own)
     label = F.expr("element_at(map(" + ", ".join(f"'{c}', {i}D" for i, c in enumerate(classes)) + "), family)")
     rows = materialise(rows.withColumn("label", label), "licence-rows")
-    ready = _features(rows.coalesce(4)).cache()  # bounded: the templates' variants and the sample
+    # Bounded: the templates' variants and the sample. In one partition and read from a table, a step of the optimiser is one
+    # small task: without a shuffle of gradients, which have a number for each class and feature, and without the expressions
+    # for the words, which would be sent along with each of some hundred jobs and stay with the driver's records of them.
+    rows = materialise(_features(rows.coalesce(1)).select("label", "fold", "features"), "licence-features")
+    ready = rows.coalesce(1)
     fit = LogisticRegression(maxIter=ITERATIONS, regParam=0.0005, elasticNetParam=0.5, standardization=False, family="multinomial").fit
     leads = []
     for fold in range(FOLDS):
@@ -281,7 +285,6 @@ def train(df: DataFrame, text_col: str = "text", unknown_rows: int = UNKNOWN_ROW
     held = materialise(functools.reduce(DataFrame.unionByName, leads), "licence-leads")
     line = LogisticRegression(maxIter=40, regParam=0.01, standardization=False).fit(VectorAssembler(inputCols=["lead"], outputCol="features").transform(held))
     model = Model(classes, fit(ready), float(line.coefficients[0]), float(line.intercept))
-    ready.unpersist()
     return model
 
 

@@ -71,3 +71,17 @@ def test_wordings_that_are_no_templates(spark):
     wrong = [(text, family, got[k]) for k, (text, family) in enumerate(UNSEEN) if got[k] != (family or "")]
     assert len(wrong) <= 1, wrong
     assert not any(got[100 + i] for i in range(200))
+
+
+def test_training_sends_little_to_the_driver(spark):
+    """A step of the optimiser is a job of one task; gradients are not shuffled."""
+    sc = spark.sparkContext
+    df = spark.createDataFrame([(i, f"{PROSE} Number {i} of many lines.", "x", "y") for i in range(200)], SCHEMA).repartition(8)
+    sc.setJobGroup("licence-training", "")
+    try:
+        license.train(df)
+        told = [sc.statusTracker().getJobInfo(i) for i in sc.statusTracker().getJobIdsForGroup("licence-training")]
+    finally:
+        sc.setJobGroup("", "")
+    tasks = [sum(s.numTasks for i in job.stageIds if (s := sc.statusTracker().getStageInfo(i))) for job in told if job]
+    assert len(tasks) > 100 and sorted(tasks)[len(tasks) * 9 // 10] == 1
