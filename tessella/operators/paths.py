@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import cut
 from .graph import cluster_points
-from .raster import nearest_hit
+from .raster import _fill_far
 from .vector import nearest_lines, project
 
 
@@ -33,13 +33,55 @@ def aligned(corners: DataFrame, lines: DataFrame, angle: float, distance: float,
     return corners.join(feet, ["image", "id", "pos"], "left").withColumns({k: moved(k) for k in "xy"}).drop("__x", "__y")
 
 
-def _near_mask(asked: DataFrame, px: DataFrame, mask: Column, steps: int) -> DataFrame:
-    """Those of ``asked`` (image, r, c) that are at most ``steps`` moves to a neighbour side by side away from the mask, once each."""
-    asked = asked.select("image", "r", "c").distinct()
-    reach = asked.withColumn("__i", F.explode(F.sequence(F.lit(-steps), F.lit(steps)))).withColumn("__j", F.explode(F.sequence(F.abs("__i") - steps, steps - F.abs("__i"))))
-    wide = reach.select("image", "r", "c", (F.col("r") + F.col("__i")).alias("__r"), (F.col("c") + F.col("__j")).alias("__c"))
-    on = px.where(mask).select("image", F.col("r").alias("__r"), F.col("c").alias("__c"))
-    return wide.join(on, ["image", "__r", "__c"], "left_semi").select("image", "r", "c").distinct()
+def _joined(stretches: DataFrame) -> DataFrame:
+    """Stretches (image, r, c0, c1) of rows, those that touch or overlap as one."""
+    row = W.partitionBy("image", "r").orderBy("c0", "c1")
+    new = F.coalesce(F.col("c0") > F.max("c1").over(row.rowsBetween(W.unboundedPreceding, -1)) + 1, F.lit(True))
+    told = stretches.withColumn("__new", new.cast("long")).withColumn("__n", F.sum("__new").over(row.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return told.groupBy("image", "r", "__n").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("__n")
+
+
+def _around(px: DataFrame, mask: Column, steps: int) -> DataFrame:
+    """Stretches of what is at most ``steps`` moves to a neighbour side by side away from the mask, whether there is a pixel or not."""
+    on = px.where(mask).select("image", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c0"), F.col("c").cast("long").alias("c1")).dropna()
+    wide = _joined(on).withColumn("__i", F.explode(F.sequence(F.lit(-steps), F.lit(steps)))).withColumn("__j", steps - F.abs("__i"))
+    return _joined(wide.select("image", (F.col("r") + F.col("__i")).alias("r"), (F.col("c0") - F.col("__j")).alias("c0"), (F.col("c1") + F.col("__j")).alias("c1")))
+
+
+def _near_mask(asked: DataFrame, around: DataFrame) -> DataFrame:
+    """Those of ``asked`` (image, r, c) that are on a stretch of ``_around``, once each."""
+    asked = asked.select("image", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.lit(None).cast("long").alias("__end")).distinct()
+    both = asked.unionByName(around.select("image", "r", F.col("c0").alias("c"), F.col("c1").alias("__end"))).withColumn("__asked", F.col("__end").isNull())
+    upto = F.max("__end").over(W.partitionBy("image", "r").orderBy("c").rangeBetween(W.unboundedPreceding, W.currentRow))
+    return both.withColumn("__upto", upto).where("__asked and __upto >= c").select("image", "r", "c")
+
+
+def _nearest(asked: DataFrame, seen: DataFrame, first: int = 3, most: int = 16) -> DataFrame:
+    """(image, r, c, __r, __c): the pixel of ``seen`` nearest to each of ``asked`` (both image, r, c), however far; of equal ones
+    the first by rows.
+
+    In a row the nearest stand beside the place that is asked for. The rows within ``first`` bound how far others have to be looked at;
+    beyond ``most``, or without a bound, ``_fill_far`` takes over. Both set the cost and not the result.
+    """
+
+    def of_rows(asked: DataFrame, reach: Column) -> DataFrame:
+        rows = asked.select("image", "r", "c", F.explode(F.sequence(F.col("r") - reach, F.col("r") + reach)).alias("__r"), F.lit(None).cast("long").alias("__c"))
+        both = rows.unionByName(seen.select("image", F.lit(None).cast("long").alias("r"), "c", F.col("r").alias("__r"), F.col("c").alias("__c")))
+        beside = [F.last("__c", True).over(W.partitionBy("image", "__r").orderBy(o).rangeBetween(W.unboundedPreceding, W.currentRow)) for o in (F.asc("c"), F.desc("c"))]
+        both = both.withColumns(dict(zip(("__one", "__two"), beside))).where("r is not null")
+        far = lambda k: (F.col("__r") - F.col("r")) * (F.col("__r") - F.col("r")) + (F.col(k) - F.col("c")) * (F.col(k) - F.col("c"))
+        hit = [F.when(F.col(k).isNotNull(), F.struct(far(k).alias("d"), F.col("__r").alias("r"), F.col(k).alias("c"))) for k in ("__one", "__two")]
+        return both.groupBy("image", "r", "c").agg(F.min(F.least(*hit)).alias("m"))
+
+    found = lambda df: df.select("image", "r", "c", F.col("m.r").alias("__r"), F.col("m.c").alias("__c"))
+    near = cut(of_rows(asked, F.lit(first).cast("long")), "near")
+    out = found(near.where(f"m.d < {(first + 1) ** 2}"))
+    out = out.unionByName(found(of_rows(near.where(f"m.d >= {(first + 1) ** 2} and m.d <= {most * most}"), F.floor(F.sqrt("m.d")))))
+    left = near.where(f"m is null or m.d > {most * most}").select("image", "r", "c")
+    if left.isEmpty():
+        return out
+    far = _fill_far(left, seen.select("image", F.col("r").alias("r2"), F.col("c").alias("c2"), F.struct("r", "c").alias("found")))
+    return out.unionByName(far.select("image", "r", "c", F.col("__f.r").alias("__r"), F.col("__f.c").alias("__c")))
 
 
 def _inside(px: DataFrame) -> DataFrame:
@@ -58,7 +100,7 @@ def best_evidence(points: DataFrame, px: DataFrame, evidence: str, mask: Column,
     at = points.join(F.broadcast(_inside(px)), "image").withColumns({"__r": F.bround("y").cast("long"), "__c": F.bround("x").cast("long")})
     window = lambda name, last: F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col(name) - radius), F.greatest(F.lit(0).cast("long"), F.least(F.col(last).cast("long"), F.col(name) + radius))))
     near = at.withColumn("r", window("__r", "__h")).withColumn("c", window("__c", "__w")).where(f"abs(r - __r) <= {radius} and abs(c - __c) <= {radius}")
-    near = near.join(_near_mask(near, px, mask, steps), ["image", "r", "c"]).join(px.select("image", "r", "c", F.col(evidence).alias("__e")), ["image", "r", "c"])
+    near = near.join(_near_mask(near, _around(px, mask, steps)), ["image", "r", "c"]).join(px.select("image", "r", "c", F.col(evidence).alias("__e")), ["image", "r", "c"])
     quality = F.col("__e") - 0.025 * F.sqrt((F.col("c") - F.col("x")) ** 2 + (F.col("r") - F.col("y")) ** 2)
     best = near.groupBy("image", "id").agg(F.min(F.struct((-quality).alias("q"), "r", "c")).alias("m")).select("image", "id", "m.r", "m.c")
     out = at.join(best, ["image", "id"], "left")
@@ -85,16 +127,14 @@ def on_mask(corners: DataFrame, px: DataFrame, mask: Column, steps: int = 5) ->
     pixel that is not (of equal ones the first by rows). Corners equal to the one before go, and so do paths left with one."""
     at = corners.join(F.broadcast(_inside(px)), "image").select("image", "id", "pos", _pixel("x", "__w").alias("c"), _pixel("y", "__h").alias("r"))
     at = cut(at, "corners")
-    fine = _near_mask(at, px, mask, steps)
-    lost = at.select("image", "r", "c").distinct().join(fine, ["image", "r", "c"], "left_anti")
+    around = cut(_around(px, mask, steps), "around")
+    lost = at.select("image", "r", "c").distinct().join(_near_mask(at, around), ["image", "r", "c"], "left_anti")
     # The nearest allowed pixel is one of those around the mask; all of them are asked, but only where a corner is lost.
+    lost = cut(lost, "lost")
     images = F.broadcast(lost.select("image").distinct())
-    rim = px.where(mask).join(images, "image", "left_semi").select("image", "r", "c")
-    rim = rim.withColumn("__i", F.explode(F.sequence(F.lit(-steps), F.lit(steps)))).withColumn("__j", F.explode(F.sequence(F.abs("__i") - steps, steps - F.abs("__i"))))
-    rim = rim.select("image", (F.col("r") + F.col("__i")).alias("r"), (F.col("c") + F.col("__j")).alias("c")).distinct().join(px.select("image", "r", "c"), ["image", "r", "c"], "left_semi")
-    seen = rim.select("image", F.col("r").alias("r2"), F.col("c").alias("c2"), F.struct("r", "c").alias("found"))
-    best = nearest_hit(lost, seen, steps).drop("__d")
-    out = at.join(best, ["image", "r", "c"], "left").select("image", "id", "pos", F.coalesce(F.col("__f.c"), "c").alias("x"), F.coalesce(F.col("__f.r"), "r").alias("y"))
+    rim = around.join(images, "image", "left_semi").select("image", "r", F.explode(F.sequence("c0", "c1")).alias("c")).join(px.select("image", "r", "c"), ["image", "r", "c"], "left_semi")
+    best = _nearest(lost, cut(rim, "rim"))
+    out = at.join(best, ["image", "r", "c"], "left").select("image", "id", "pos", F.coalesce("__c", "c").alias("x"), F.coalesce("__r", "r").alias("y"))
     along = W.partitionBy("image", "id")
     before = F.lag(F.struct("x", "y")).over(along.orderBy("pos"))
     out = out.withColumn("__same", before.eqNullSafe(F.struct("x", "y"))).where("not __same").drop("__same")

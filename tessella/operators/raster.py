@@ -382,9 +382,9 @@ def _fill_far(holes: DataFrame, seen: DataFrame) -> DataFrame:
     columns = seen.select("image", F.col("c2").alias("c")).distinct()
     asked = holes.select("image", "r").distinct().join(columns, "image").withColumn("hit", F.lit(None).cast(f"struct<r2:{dict(seen.dtypes)['r2']},found:{dict(seen.dtypes)['found']}>"))
     told = seen.select("image", F.col("r2").alias("r"), F.col("c2").alias("c"), F.struct("r2", "found").alias("hit"))
-    column = W.partitionBy("image", "c").orderBy("r")
-    up = F.last("hit", True).over(column.rangeBetween(W.unboundedPreceding, W.currentRow))
-    down = F.first("hit", True).over(column.rangeBetween(W.currentRow, W.unboundedFollowing))
+    # Both windows run forwards: for a frame that begins at the current row and has no end, Spark goes through all of it again
+    # for every row.
+    up, down = (F.last("hit", True).over(W.partitionBy("image", "c").orderBy(order).rangeBetween(W.unboundedPreceding, W.currentRow)) for order in (F.asc("r"), F.desc("r")))
     both = asked.withColumn("asked", F.lit(True)).unionByName(told.withColumn("asked", F.lit(False))).withColumns({"up": up, "down": down}).where("asked")
     far = lambda x: F.abs(F.col(f"{x}.r2") - F.col("r"))
     hit = F.when(F.col("down").isNull() | (far("up") <= far("down")), F.col("up")).otherwise(F.col("down"))

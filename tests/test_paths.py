@@ -166,3 +166,39 @@ def test_segments_meet_only_near_lines(spark):
     rows = spark.range(5000).select(F.lit("i").alias("image"), "id", F.lit(0.0).alias("x1"), F.col("id").cast("double").alias("y1"), F.lit(8.0).alias("x2"), F.col("id").cast("double").alias("y2"))
     lines = rows.where("id % 40 = 0").toDF("image", "line_id", "lx1", "ly1", "lx2", "ly2")
     assert vector._near_lines(rows, lines, 6.0).count() < 5 * 5000
+
+
+def test_far_holes_do_not_read_a_column_again_for_each(spark):
+    """A frame from the current row to the end of a column makes Spark go through the rest of it for every row."""
+    holes = spark.createDataFrame([("i", r, 0) for r in range(0, 60, 7)], "image string, r long, c long")
+    seen = spark.createDataFrame([("i", r, c, r) for r, c in ((3, 1), (17, 1), (17, 5), (40, 5), (53, 1))], "image string, r2 long, c2 long, found long")
+    far = raster._fill_far(holes, seen)
+    assert "unboundedfollowing" not in far._jdf.queryExecution().toString().lower()
+    want = {r: min(((r - r2) ** 2 + c2**2, r2, c2) for r2, c2 in ((3, 1), (17, 1), (17, 5), (40, 5), (53, 1)))[:2] for r in range(0, 60, 7)}
+    assert {x.r: (x["__d"], x["__f"]) for x in far.collect()} == want
+
+
+def test_corners_meet_the_mask_however_far(spark):
+    """Near, far and very far from the mask, with ties, missing pixels, and an image without a mask, against all pairs."""
+    draw, steps = np.random.default_rng(21), 2
+    shape, on = (60, 90), {"a": [(9, 20), (9, 21), (9, 22), (30, 20), (12, 55), (12, 57), (33, 3), (0, 21), (59, 40)], "b": [], "c": [tuple(p) for p in draw.integers((0, 0), (60, 90), (60, 2)).tolist()]}
+    there = {image: draw.random(shape) < 0.8 for image in on}
+    for image in on:
+        there[image][-1, -1] = True
+    pixels = [(image, r, c, (r, c) in on[image]) for image in on for r, c in np.argwhere(there[image]).tolist()]
+    corners = [(image, k, i, float(x), float(y)) for image in on for k in range(80) for i, (x, y) in enumerate(draw.integers((-3, -3), (94, 64), (2, 2)).tolist())]
+    want = {}
+    for image, k, i, x, y in corners:
+        mask = np.array([p for p in on[image] if there[image][p]], int).reshape(-1, 2)
+        r, c = min(max(round(y), 0), 59), min(max(round(x), 0), 89)
+        near = np.zeros(shape, bool)
+        near[tuple(mask.T)] = True
+        near = wide(near, steps)
+        seen = np.argwhere(near & there[image]).tolist()
+        if not near[r, c] and seen:
+            r, c = min(seen, key=lambda q: ((q[0] - r) ** 2 + (q[1] - c) ** 2, q))
+        want[image, k, i] = (c, r)
+    want = {(image, k, i): p for (image, k, i), p in want.items() if want[image, k, 0] != want[image, k, 1]}
+    px = spark.createDataFrame(pixels, "image string, r long, c int, m boolean")
+    out = paths.on_mask(spark.createDataFrame(corners, "image string, id long, pos int, x double, y double"), px, F.col("m"), steps)
+    assert {(x.image, x.id, x.pos): (x.x, x.y) for x in out.collect()} == want and len(want) > 300
